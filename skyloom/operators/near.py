@@ -269,6 +269,22 @@ def sky_region_faces(ring: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield f, uv
 
 
+def sky_rings(regions: DataFrame) -> DataFrame:
+    """Regions ``(region_id, ring of [lon, lat] degrees)`` on the cube faces of ``sky_plane``."""
+
+    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for k, ring in zip(b.column("region_id").to_pylist(), b.column("ring").to_pylist()):
+                r = np.array([c for c in ring or [] if c and len(c) == 2 and None not in c], float).reshape(-1, 2)
+                if len(r):
+                    out += [(k, f, uv.tolist()) for f, uv in sky_region_faces(r)]
+            cols = list(zip(*out)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.list_(pa.float64())))], ["region_id", "z", "ring"])
+
+    return regions.filter(F.col("region_id").isNotNull()).select(F.col("region_id").cast("bigint").alias("region_id"), "ring").mapInArrow(project, "region_id bigint, z bigint, ring array<array<double>>")
+
+
 def regions_of(at: DataFrame, regions: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """``(id, region_id, on_boundary)`` for every row of ``at`` (id, z, x, y) and the regions that hold it.
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.operators import near
+from skyloom.operators import badrows, copies, drift, near
 from skyloom.session import table
 
 STAR_RADIUS_PX = 2.0
@@ -47,5 +47,145 @@ FROM fb a JOIN fn b ON a.cx = b.cx + b.ox AND a.cy = b.cy + b.oy AND a.cz = b.cz
 WHERE 2 * asin(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) / 2) <= radians(10.0 / 3600) * (1 + 1e-9)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
-SQL: dict[str, str] = {"p1_found": P1_SQL}
+
+FRAME_SIDE_PX = 2048
+
+
+def p1_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames whose centre lies in the square footprint of a first exposure."""
+    frames = table(spark, sf_dir, "frames")
+    half = F.radians(F.col("pixscale_arcsec") * F.lit(FRAME_SIDE_PX / 2 / 3600))
+    ra, dec = F.radians("ra_deg"), F.radians("dec_deg")
+
+    def corner(sx: int, sy: int):
+        down = F.cos(dec) - sy * half * F.sin(dec)
+        lat = F.atan2(F.sin(dec) + sy * half * F.cos(dec), F.sqrt(half * half + down * down))
+        return F.array(F.degrees(ra + F.atan2(sx * half, down)), F.degrees(lat))
+
+    ok = (F.col("exposure") == 1) & (F.abs("dec_deg") <= 90.0) & (F.abs("ra_deg") < float("inf"))
+    rings = frames.filter(ok).select(F.col("frame_id").alias("region_id"), F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("ring")).distinct()
+    at = near.sky_plane(frames, "frame_id", "ra_deg", "dec_deg")
+    return near.regions_of(at, near.sky_rings(rings)).select(F.col("id").alias("frame_id"), "region_id", "on_boundary")
+
+
+P1_REGIONS_SQL = """
+WITH f AS (SELECT DISTINCT frame_id, exposure, radians(pixscale_arcsec * 1024 / 3600) AS h, radians(ra_deg) AS lon, radians(dec_deg) AS lat
+           FROM frames WHERE isfinite(ra_deg) AND isfinite(dec_deg) AND abs(dec_deg) <= 90),
+v AS (SELECT *, cos(lat) * cos(lon) AS x, cos(lat) * sin(lon) AS y, sin(lat) AS z FROM f),
+b AS (SELECT *, CAST(floor(x / 1e-3) AS BIGINT) AS cx, CAST(floor(y / 1e-3) AS BIGINT) AS cy, CAST(floor(z / 1e-3) AS BIGINT) AS cz FROM v),
+r1 AS (SELECT *, unnest([-1, 0, 1]) AS ox FROM b WHERE exposure = 1 AND h IS NOT NULL),
+r2 AS (SELECT *, unnest([-1, 0, 1]) AS oy FROM r1),
+r AS (SELECT *, unnest([-1, 0, 1]) AS oz FROM r2),
+t AS (SELECT p.frame_id, r.frame_id AS region_id, r.h, sin(r.lat) * sin(p.lat) + cos(r.lat) * cos(p.lat) * cos(p.lon - r.lon) AS c,
+        cos(p.lat) * sin(p.lon - r.lon) AS xi, cos(r.lat) * sin(p.lat) - sin(r.lat) * cos(p.lat) * cos(p.lon - r.lon) AS eta
+      FROM b p JOIN r ON p.cx = r.cx + r.ox AND p.cy = r.cy + r.oy AND p.cz = r.cz + r.oz)
+SELECT frame_id, region_id, false AS on_boundary FROM t WHERE c > 0 AND abs(xi / c) <= h AND abs(eta / c) <= h
+"""
+
+
+def _plan_and_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def side(name: str, seen: str, size: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(
+            copies.folded(F.col("filename")).alias("filename"), F.col(seen).alias("seen"), F.col(size).alias("size"),
+            copies.folded(F.col("status")).alias("status"), copies.folded_path(F.col("local_path")).alias("local_path"),
+        )
+
+    return copies.differences(
+        side("download_items", "recorded_at", "expected_size"), side("verify_rows", "checked_at", "actual_size"),
+        "filename", "seen", ["size", "status", "local_path"], ("missing_in_verify", "missing_in_items"),
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan_and_disk(spark, sf_dir).select(F.col("key").alias("filename"), "field_name")
+
+
+def p2_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The differences with the values of both sides."""
+    return _plan_and_disk(spark, sf_dir).withColumnRenamed("key", "filename")
+
+
+_P2_CTE = r"""
+WITH i AS (SELECT lower(trim(filename)) AS filename, expected_size AS size, lower(trim(status)) AS status,
+             replace(lower(trim(coalesce(local_path, ''))), '\', '/') AS local_path,
+             row_number() OVER (PARTITION BY lower(trim(filename)) ORDER BY recorded_at DESC NULLS LAST, expected_size DESC NULLS LAST) AS rn FROM download_items),
+v AS (SELECT lower(trim(filename)) AS filename, actual_size AS size, lower(trim(status)) AS status,
+             replace(lower(trim(coalesce(local_path, ''))), '\', '/') AS local_path,
+             row_number() OVER (PARTITION BY lower(trim(filename)) ORDER BY checked_at DESC NULLS LAST, actual_size DESC NULLS LAST) AS rn FROM verify_rows),
+b AS (SELECT coalesce(i.filename, v.filename) AS filename, i.filename IS NULL AS no_i, v.filename IS NULL AS no_v,
+             i.size AS s1, v.size AS s2, i.status AS t1, v.status AS t2, i.local_path AS p1, v.local_path AS p2
+      FROM (SELECT * FROM i WHERE rn = 1) i FULL JOIN (SELECT * FROM v WHERE rn = 1) v ON i.filename = v.filename),
+d AS (SELECT filename, 'missing_in_verify' AS field_name, NULL AS left_value, NULL AS right_value FROM b WHERE no_v
+UNION ALL SELECT filename, 'missing_in_items', NULL, NULL FROM b WHERE no_i
+UNION ALL SELECT filename, 'size', CAST(s1 AS VARCHAR), CAST(s2 AS VARCHAR) FROM b WHERE NOT no_i AND NOT no_v AND s1 IS DISTINCT FROM s2
+UNION ALL SELECT filename, 'status', t1, t2 FROM b WHERE NOT no_i AND NOT no_v AND t1 IS DISTINCT FROM t2
+UNION ALL SELECT filename, 'local_path', p1, p2 FROM b WHERE NOT no_i AND NOT no_v AND p1 IS DISTINCT FROM p2)
+"""
+P2_SQL = _P2_CTE + "SELECT filename, field_name FROM d"
+P2_VALUES_SQL = _P2_CTE + "SELECT filename, field_name, left_value, right_value FROM d"
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = badrows.parsed_rows(table(spark, sf_dir, "obs_lines"), "line_id", "raw_line")
+    return rows.filter(F.col("reason").isNotNull()).select(F.col("id").alias("line_id"), "reason").distinct()
+
+
+def p3_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid rows, typed."""
+    rows = badrows.parsed_rows(table(spark, sf_dir, "obs_lines"), "line_id", "raw_line")
+    return rows.filter(F.col("reason").isNull()).select(F.col("id").alias("line_id"), "obs_id", F.array_join("filters", ";").alias("filters"), F.size("ring").alias("n_corners")).distinct()
+
+
+def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files read again as physical lines, without knowing where records start."""
+    lines = table(spark, sf_dir, "obs_lines").dropDuplicates(["line_id"])
+    lines = lines.select("file_name", "line_no", F.posexplode(F.split("raw_line", "\n")))
+    lines = lines.select("file_name", (F.col("line_no") * 1000 + F.col("pos")).alias("line_no"), F.col("col").alias("line"))
+    return badrows.parsed_files(lines, "file_name", "line_no", "line", block_lines=1_000_000).select("file_name", "first_line", "n_lines", "obs_id", "reason")
+
+
+_P3_CTE = r"""
+WITH r AS (SELECT DISTINCT line_id, coalesce(raw_line, '') AS t FROM obs_lines),
+q AS (SELECT *, regexp_full_match(t, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*))*') AS ok FROM r),
+c AS (SELECT *, ok AND regexp_full_match(t, '("([^"]|"")*"|[^",]*)(,("([^"]|"")*"|[^",]*)){2}') AS three,
+        regexp_extract(t, '^("(?:[^"]|"")*"|[^",]*),("(?:[^"]|"")*"|[^",]*),("(?:[^"]|"")*"|[^",]*)$', ['a', 'b', 'c']) AS g FROM q),
+u AS (SELECT line_id, ok, three,
+        CASE WHEN g.a LIKE '"%' THEN replace(substr(g.a, 2, length(g.a) - 2), '""', '"') ELSE g.a END AS obs_id,
+        CASE WHEN g.b LIKE '"%' THEN replace(substr(g.b, 2, length(g.b) - 2), '""', '"') ELSE g.b END AS filters,
+        CASE WHEN g.c LIKE '"%' THEN replace(substr(g.c, 2, length(g.c) - 2), '""', '"') ELSE g.c END AS s_region FROM c),
+w AS (SELECT *, list_filter(regexp_split_to_array(upper(s_region), '\s+'), lambda x: x <> '') AS words FROM u),
+n AS (SELECT *, [TRY_CAST(x AS DOUBLE) FOR x IN words[2:]] AS nums,
+        len(list_filter(words[2:], lambda x: NOT regexp_full_match(x, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(E[+-]?[0-9]+)?'))) AS odd FROM w),
+z AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN NOT three THEN 'columns' WHEN trim(obs_id, E' \t\n\r') = '' THEN 'obs_id'
+  WHEN NOT regexp_full_match(upper(filters), '\s*F[0-9]{3}(W2|W|M|N)\s*(;\s*(CLEAR|F[0-9]{3}(W2|W|M|N))\s*)?') THEN 'filters'
+  WHEN len(words) > 0 AND NOT coalesce(words[1] = 'POLYGON' AND odd = 0 AND len(nums) >= 6 AND len(nums) % 2 = 0
+    AND len(list_filter(nums, lambda x, i: x IS NULL OR (i % 2 = 1 AND NOT x BETWEEN 0 AND 360) OR (i % 2 = 0 AND NOT x BETWEEN -90 AND 90))) = 0, false) THEN 's_region' END AS reason FROM n)
+"""
+P3_SQL = _P3_CTE + "SELECT line_id, reason FROM z WHERE reason IS NOT NULL"
+P3_ROWS_SQL = _P3_CTE + r"""SELECT line_id, trim(obs_id, E' \t\n\r') AS obs_id, regexp_replace(upper(filters), '\s', '', 'g') AS filters, CAST(len(nums) / 2 AS INTEGER) AS n_corners FROM z WHERE reason IS NULL"""
+
+
+def _gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.fields_of(table(spark, sf_dir, "gauge_records"), "series_key", "file_name", "produced_at", "group_key", "record_id", "payload")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.changes_of(_gauges(spark, sf_dir)).select(F.col("file").alias("file_name"), "field_name", "change_kind")
+
+
+def p4_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes with the file compared against, the old name and the types."""
+    return drift.changes_of(_gauges(spark, sf_dir)).select(F.col("series").alias("series_key"), F.col("file").alias("file_name"), "previous_file", "field_name", "old_name", "change_kind", "old_type", "new_type")
+
+
+def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All gauge values of all files under consistent names and types."""
+    long = _gauges(spark, sf_dir)
+    return drift.consistent(long, drift.changes_of(long)).select(F.col("id").alias("record_id"), F.col("series").alias("series_key"), F.col("file").alias("file_name"), F.col("grp").alias("group_key"), "field_name", "number", "text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found, "p1_regions": p1_regions, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_rows": p3_rows,
+    "p3_files": p3_files, "p4_found": p4_found, "p4_log": p4_log, "p4_table": p4_table,
+}
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p1_regions": P1_REGIONS_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_found": P3_SQL, "p3_rows": P3_ROWS_SQL}
