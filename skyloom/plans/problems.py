@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.operators import badrows, copies, drift, near
+from skyloom.operators import badrows, copies, drift, near, spikes
 from skyloom.session import table
 
 STAR_RADIUS_PX = 2.0
@@ -184,8 +184,44 @@ def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.consistent(long, drift.changes_of(long)).select(F.col("id").alias("record_id"), F.col("series").alias("series_key"), F.col("file").alias("file_name"), F.col("grp").alias("group_key"), "field_name", "number", "text")
 
 
+def _registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "frame_registrations").filter(~F.coalesce("is_reference", F.lit(False)))
+    rms, peak, dx, n, top = (F.col(c) for c in ("residual_rms_px", "residual_max_px", "dx", "n_matched", "n_detected"))
+    return spikes.scored(
+        rows, "group_key", "solved_at", "reg_id",
+        {"residual_rms_px": (rms, (rms < 0) | (F.nanvl(peak, F.lit(None)) < rms)), "dx": (dx, F.abs(dx) > 2048.0), "n_matched": (n, (n < 0) | (n > top))},
+    )
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spikes.flagged(_registrations(spark, sf_dir)).select(F.col("id").alias("reg_id"), "field_name", "flag")
+
+
+def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading with its level and isolation score."""
+    return _registrations(spark, sf_dir).select(F.col("source").alias("group_key"), F.col("id").alias("reg_id"), "field_name", "value", "level", "score", "rule")
+
+
+P5_SQL = """
+WITH r AS (SELECT DISTINCT reg_id, group_key, solved_at, residual_rms_px, residual_max_px, dx, n_matched, n_detected FROM frame_registrations WHERE NOT coalesce(is_reference, false)),
+l AS (SELECT reg_id, group_key, solved_at, 'residual_rms_px' AS field_name, residual_rms_px AS v,
+        coalesce(residual_rms_px < 0 OR (NOT isnan(residual_max_px) AND residual_rms_px > residual_max_px), false) AS bad FROM r
+  UNION ALL SELECT reg_id, group_key, solved_at, 'dx', dx, coalesce(abs(dx) > 2048, false) FROM r
+  UNION ALL SELECT reg_id, group_key, solved_at, 'n_matched', n_matched::double, coalesce(n_matched < 0 OR n_matched > n_detected, false) FROM r),
+n AS (SELECT *, CASE WHEN isnan(v) THEN NULL ELSE v END AS x, row_number() OVER w AS i FROM l WINDOW w AS (PARTITION BY group_key, field_name ORDER BY solved_at, reg_id)),
+b AS (SELECT *, CASE WHEN x = lag(x) OVER w THEN 0 ELSE 1 END AS brk FROM n WINDOW w AS (PARTITION BY group_key, field_name ORDER BY i)),
+g AS (SELECT *, sum(brk) OVER (PARTITION BY group_key, field_name ORDER BY i) AS run FROM b),
+s AS (SELECT *, count(*) OVER (PARTITION BY group_key, field_name, run) >= 6 AS stuck FROM g),
+c AS (SELECT *, median(x) OVER (PARTITION BY group_key, field_name ORDER BY i ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS level FROM s
+      WHERE x IS NOT NULL AND NOT isinf(x) AND NOT bad AND NOT stuck),
+m AS (SELECT group_key, field_name, 1.4826::double * quantile_disc(abs(x - level), 0.5) AS scatter FROM c GROUP BY ALL)
+SELECT reg_id, field_name, CASE WHEN bad OR isinf(x) THEN 'impossible' ELSE 'stuck' END AS flag FROM s WHERE x IS NOT NULL AND (bad OR isinf(x) OR stuck)
+UNION ALL
+SELECT reg_id, field_name, 'spike' FROM c JOIN m USING (group_key, field_name) WHERE abs(x - level) > 10 * scatter
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_regions": p1_regions, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_rows": p3_rows,
-    "p3_files": p3_files, "p4_found": p4_found, "p4_log": p4_log, "p4_table": p4_table,
+    "p3_files": p3_files, "p4_found": p4_found, "p4_log": p4_log, "p4_table": p4_table, "p5_found": p5_found, "p5_scores": p5_scores,
 }
-SQL: dict[str, str] = {"p1_found": P1_SQL, "p1_regions": P1_REGIONS_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_found": P3_SQL, "p3_rows": P3_ROWS_SQL}
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p1_regions": P1_REGIONS_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_found": P3_SQL, "p3_rows": P3_ROWS_SQL, "p5_found": P5_SQL}
