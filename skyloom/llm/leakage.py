@@ -29,8 +29,8 @@ from skyloom.session import written
 PART, OVERLAP = 4096, 64
 WIDTH, STEP = 26, 5
 KNOWN = 14  # a passage's least words of the items' vocabulary
-RANK, SPARE, SEED = 128, 16, 5
-COSINE = 0.55
+RANK, SPARE, SEED = 256, 16, 5
+COSINE = 0.6
 MAX_VOCABULARY, MAX_ITEM_WORDS = 1_000_000, 4_000_000
 # (words of an item window, words that may differ): a passage of n words of which one in eight may
 # differ holds one of these windows with at most as many changes, whatever n from 20 on
@@ -49,57 +49,36 @@ def words(text: str) -> list[str]:
     return _WORD.findall(t.casefold())
 
 
-def _cumulated(rows: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(rows) + 1, *rows.shape[1:]))
-    np.cumsum(rows, 0, out=out[1:])
-    return out
-
-
 class Passages:
-    """Windows of a block of parts that hold enough known words: positions of known words, starts and ends."""
-
-    def __init__(self, offsets: np.ndarray, ids: np.ndarray, weight: np.ndarray, unknown: float, known: int = KNOWN):
-        self.ids = ids
-        starts, owner = [], []
-        for k in range(len(offsets) - 1):
-            n = offsets[k + 1] - offsets[k]
-            s = np.arange(0, max(1, n - WIDTH + STEP), STEP) + offsets[k]
-            starts.append(s)
-            owner.append(np.full(len(s), k))
-        self.start = np.concatenate(starts) if starts else np.empty(0, np.int64)
-        self.owner = np.concatenate(owner) if owner else np.empty(0, np.int64)
+    """Windows of a block of parts that hold enough known words, as rows of a small dense matrix over the block's terms."""
+
+    def __init__(self, offsets: np.ndarray, ids: np.ndarray, weight: np.ndarray, unknown: float, step: int = STEP, known: int = KNOWN):
+        self.ids, self.weight, self.unknown = ids, weight, unknown
+        lengths = np.diff(offsets)
+        n = np.maximum(1, -(-(lengths - WIDTH) // step) + 1)
+        self.owner = np.repeat(np.arange(len(lengths)), n)
+        self.start = offsets[self.owner] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
         self.end = np.minimum(self.start + WIDTH, offsets[self.owner + 1])
         there = np.r_[0, np.cumsum(ids >= 0)]
         keep = there[self.end] - there[self.start] >= known
         self.start, self.end, self.owner = self.start[keep], self.end[keep], self.owner[keep]
-        self.at = np.flatnonzero(ids >= 0)
-        self.term = ids[self.at]
-        self.a, self.b = there[self.start], there[self.end]
-        square = np.r_[0, np.cumsum(weight[self.term] ** 2)]
-        n_unknown = (self.end - self.start) - (self.b - self.a)
-        self.norm = np.sqrt(square[self.b] - square[self.a] + n_unknown * unknown**2)
-
-    def times(self, basis: np.ndarray, weight: np.ndarray) -> np.ndarray:
-        """Passage rows times ``basis``: differences of running sums along the words."""
-        c = _cumulated(weight[self.term][:, None] * basis[self.term])
-        return c[self.b] - c[self.a]
-
-    def transposed(self, y: np.ndarray, weight: np.ndarray, n_terms: int) -> np.ndarray:
-        """Transposed passage rows times ``y``."""
-        d = np.zeros((len(self.term) + 1, y.shape[1]))
-        np.add.at(d, self.a, y)
-        np.subtract.at(d, self.b, y)
-        g = np.cumsum(d[:-1], 0) * weight[self.term][:, None]
-        out = np.zeros((n_terms, y.shape[1]))
-        order = np.argsort(self.term, kind="stable")
-        t = self.term[order]
-        first = np.r_[0, np.flatnonzero(np.diff(t)) + 1]
-        out[t[first]] = np.add.reduceat(g[order], first, 0)
-        return out
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], most: int = 60_000):
-    """(row numbers' columns, offsets, ids) of blocks of about ``most`` words."""
+
+    def rows(self, most: int = 1024) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(which passages, their terms, weighted counts divided by the passage's norm) in blocks."""
+        for s in range(0, len(self.start), most):
+            part = slice(s, min(s + most, len(self.start)))
+            a, n = self.start[part], self.end[part] - self.start[part]
+            row = np.repeat(np.arange(len(a)), n)
+            term = self.ids[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            there = term >= 0
+            unknown = np.bincount(row[~there], minlength=len(a)) * self.unknown**2
+            terms, col = np.unique(term[there], return_inverse=True)
+            x = np.bincount(row[there] * len(terms) + col, self.weight[term[there]], len(a) * len(terms)).reshape(len(a), -1)
+            yield part, terms, (x / np.sqrt((x * x).sum(1) + unknown)[:, None]).astype(np.float32)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, offsets, ids) of blocks of about ``most`` words."""
     for b in batches:
         col = b.column("ids")
         off, flat = np.asarray(col.offsets), np.asarray(col.values)
@@ -128,17 +107,16 @@ def parts_of(docs: DataFrame, id: str, text: str, vocabulary: dict[str, int]) ->
 
 
 def _added_up(parts: DataFrame, basis: np.ndarray, weight: np.ndarray, unknown: float) -> np.ndarray:
-    """Gram matrix of all passages times ``basis``: each task adds up its passages, Spark the tasks' blocks of terms."""
+    """Gram matrix of passages that together hold every word, times ``basis``: each task adds up its passages, Spark the tasks' blocks of terms."""
     n_terms, width = basis.shape
     step = 256
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n_terms, width))
+        total, q = np.zeros((n_terms, width)), basis.astype(np.float32)
         for _, off, ids in _blocks(batches):
-            p = Passages(off, ids, weight, unknown)
-            if len(p.start):
-                total += p.transposed(p.times(basis, weight) / (p.norm**2)[:, None], weight, n_terms)
-        blocks = [total[i : i + step].astype(np.float64).tobytes() for i in range(0, n_terms, step)]
+            for _, terms, x in Passages(off, ids, weight, unknown, step=WIDTH).rows():
+                total[terms] += x.T @ (x @ q[terms])
+        blocks = [total[i : i + step].tobytes() for i in range(0, n_terms, step)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,25 +188,28 @@ def least_changes(pattern: np.ndarray, text: np.ndarray) -> np.ndarray:
 def holds(cases: list[tuple[np.ndarray, np.ndarray]], most: int = 40_000) -> np.ndarray:
     """For each (text words, item words): whether the text holds a passage of the item."""
     out = np.zeros(len(cases), bool)
+    present = [np.r_[0, np.cumsum(np.isin(item, text))] for text, item in cases]
     for n, changes in WINDOWS:
+        # no subsequence is longer than the number of the window's words that the text has at all
+        live = {i: np.flatnonzero(c[n:] - c[:-n] >= n - changes) for i, c in enumerate(present) if len(c) > n and not out[i]}
+        todo = sorted((i for i, w in live.items() if len(w)), key=lambda i: len(cases[i][0]))
         k = 0
-        todo = [i for i in sorted(range(len(cases)), key=lambda i: len(cases[i][0])) if not out[i] and len(cases[i][1]) >= n and len(cases[i][0]) >= n - changes]
         while k < len(todo):
             rows, part = 0, []
             while k < len(todo) and rows < most:
                 part.append(todo[k])
-                rows += len(cases[todo[k]][1]) - n + 1
+                rows += len(live[todo[k]])
                 k += 1
-            pattern = np.concatenate([np.lib.stride_tricks.sliding_window_view(cases[i][1], n) for i in part])
-            of = np.repeat(np.arange(len(part)), [len(cases[i][1]) - n + 1 for i in part])
+            pattern = np.concatenate([np.lib.stride_tricks.sliding_window_view(cases[i][1], n)[live[i]] for i in part])
+            of = np.repeat(np.arange(len(part)), [len(live[i]) for i in part])
             wide = max(len(cases[i][0]) for i in part)
             text = np.full((len(part), wide), -1, np.int32)
             for r, i in enumerate(part):
                 text[r, : len(cases[i][0])] = cases[i][0]
-            live = np.flatnonzero(common_subsequence(pattern, text[of]) >= n - changes)
-            if len(live):
-                ok = least_changes(pattern[live], text[of[live]]) <= changes
-                out[np.array(part)[of[live[ok]]]] = True
+            near = np.flatnonzero(common_subsequence(pattern, text[of]) >= n - changes)
+            if len(near):
+                ok = least_changes(pattern[near], text[of[near]]) <= changes
+                out[np.array(part)[of[near[ok]]]] = True
     return out
 
 
@@ -269,7 +250,7 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     # windows of the items in the latent space
     ends = np.r_[0, np.cumsum([len(x) for _, x in item_ids])]
     flat = np.concatenate([x for _, x in item_ids])
-    c = _cumulated(weight[flat][:, None] * basis[flat])
+    c = np.r_[np.zeros((1, basis.shape[1])), np.cumsum(weight[flat][:, None] * basis[flat], 0)]
     width = WINDOWS[0][0]
     at = [(i, s) for i, (_, x) in enumerate(item_ids) for s in sorted({*range(0, len(x) - width + 1, 3), len(x) - width}) if len(x) >= width]
     if not at:
@@ -279,20 +260,20 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     target = c[lo + width] - c[lo]
     target = (target / np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    owners = owner[first]
+    owners, latent = owner[first], basis.astype(np.float32)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, off, ids in _blocks(batches):
             p = Passages(off, ids, weight, unknown)
             if not len(p.start):
                 continue
-            y = p.times(basis, weight)
-            y = (y / np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)).astype(np.float32)
             hits = []
-            for s in range(0, len(y), 2048):
-                best = np.maximum.reduceat(y[s : s + 2048] @ target.T, first, 1)
+            for part, terms, x in p.rows():
+                y = x @ latent[terms]
+                y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+                best = np.maximum.reduceat(y @ target.T, first, 1)
                 w, i = np.nonzero(best >= cosine)
-                hits.append(np.column_stack([p.owner[s + w], owners[i], p.start[s + w], p.end[s + w]]))
+                hits.append(np.column_stack([p.owner[part][w], owners[i], p.start[part][w], p.end[part][w]]))
             h = np.concatenate(hits)
             if not len(h):
                 continue

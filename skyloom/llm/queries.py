@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyloom.llm import lookalike, packing
+from skyloom.llm import leakage, lookalike, packing
 from skyloom.session import table
 
 
@@ -14,6 +14,10 @@ def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "pack_limits"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.equal_looks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -22,5 +26,5 @@ def p8_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.forms(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_packing": p6_packing, "p8_found": p8_found, "p8_forms": p8_forms}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_packing": p6_packing, "p7_found": p7_found, "p8_found": p8_found, "p8_forms": p8_forms}
 SQL: dict[str, str] = {}
