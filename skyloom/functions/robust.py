@@ -72,7 +72,7 @@ def whole_percentiles(df: DataFrame, value: str, at: list[float], accuracy: int
             out.append(None)
             continue
         rank = p * (n - 1)
-        eps = 4.0 / accuracy
+        eps = max(4.0 / accuracy, 3.0 / n)
         lo, hi = v.agg(F.percentile_approx("v", [max(0.0, p - eps), min(1.0, p + eps)], accuracy)).first()[0]
         below = v.filter(F.col("v") < lo).count()
         counts = v.filter(F.col("v").between(lo, hi)).groupBy("v").count()
