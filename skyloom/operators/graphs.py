@@ -15,23 +15,31 @@ from skyloom.session import written
 def connected(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
     """``(node, root)``: each node of the edges with the smallest node that it is linked to.
 
-    Every round a node takes the smallest root among its own and its neighbours'
-    and then that root's own root, so paths shorten geometrically. Each round is one written
-    table. A node linked only to itself is its own root; null ends are left out.
+    The graph is contracted round by round: a label points to the smallest label within two
+    links (so that the arms of a star meet in one round), pointers are followed to their
+    ends, and links within a label vanish. The tables of a round are written, so no lineage
+    grows. A node linked only to itself is its own root; null ends are left out.
     """
-    e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    both = written(e.select(F.col(a).alias("node"), F.col(b).alias("other")).unionAll(e.select(F.col(b), F.col(a))).distinct(), "links")
-    roots = both.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("root"))
-    roots = written(roots, "roots")
+    e = edges.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
+    both = e.unionAll(e.select("v", "u"))
+    roots = both.groupBy("u").agg(F.lit(1)).select(F.col("u").alias("node"), F.col("u").alias("root"))
+    links = written(both.filter("u <> v").distinct(), "links")
     for _ in range(rounds):
-        near = both.join(roots.withColumnsRenamed({"node": "other", "root": "near"}), "other").groupBy("node").agg(F.min("near").alias("near"))
-        step = roots.join(near, "node").select("node", "root", F.least("root", "near").alias("next"))
-        jump = step.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        new = written(step.join(jump, "next", "left").select("node", "root", F.least("next", F.coalesce("far", "next")).alias("next")), "roots")
-        done = new.filter("next <> root").limit(1).count() == 0
-        roots = new.select("node", F.col("next").alias("root"))
-        if done:
+        if not links.limit(1).count():
             break
+        one = links.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("t"))
+        two = links.join(one.select(F.col("u").alias("v"), "t"), "v").groupBy("u").agg(F.least(F.first("u"), F.min("t")).alias("t"))
+        to, ended = written(two, "labels"), False
+        while not ended:
+            far = to
+            for _ in range(3):  # each step doubles the hops
+                far = far.join(far.select(F.col("u").alias("t"), F.col("t").alias("far")), "t").select("u", F.col("far").alias("t"))
+            far = written(far, "labels")
+            ended = not far.join(far.select(F.col("u").alias("t"), F.col("t").alias("far")), "t").filter("far <> t").limit(1).count()
+            to = far
+        moved = links.join(to, "u").select("v", F.col("t").alias("a")).join(to.withColumnRenamed("u", "v"), "v").select(F.col("a").alias("u"), F.col("t").alias("v"))
+        roots = written(roots.join(to.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("t", "root").alias("root")), "roots")
+        links = written(moved.filter("u <> v").distinct(), "links")
     return roots
 
 
