@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.operators import badrows, copies, drift, near, spikes
-from skyloom.session import table
+from skyloom.session import table, written
 
 STAR_RADIUS_PX = 2.0
 FRAME_RADIUS_ARCSEC = 10.0
@@ -166,7 +166,7 @@ P3_ROWS_SQL = _P3_CTE + r"""SELECT line_id, trim(obs_id, E' \t\n\r') AS obs_id,
 
 
 def _gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drift.fields_of(table(spark, sf_dir, "gauge_records"), "series_key", "file_name", "produced_at", "group_key", "record_id", "payload")
+    return written(drift.fields_of(table(spark, sf_dir, "gauge_records"), "series_key", "file_name", "produced_at", "group_key", "record_id", "payload"), "fields")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
