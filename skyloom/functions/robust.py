@@ -1,7 +1,9 @@
 """Robust statistics of groups: medians, median absolute deviations and iterated clipping.
 
-Medians are exact; a group is one pixel's, star's or source's readings, whose depth is
-bounded by the survey. For one percentile of a whole table use ``whole_percentiles``.
+All medians are exact. ``clipped``, ``stacked`` and ``mad_sigma`` use windows: their groups are
+one pixel's, tile's or source's values, whose number the survey bounds. Groups that grow with
+the table (a filter, a mosaic) take ``group_percentiles`` and ``clipped_large``, which
+gather no group; a whole column, ``whole_percentiles``.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.session import written
+
 MAD_SCALE = 1.4826
 MAD_SCALE_FULL = 1.482602218505602  # the factor of the combine step
 
@@ -58,6 +62,52 @@ def stacked(df: DataFrame, keys: list[str], value: str, sigma: float = 3.0, roun
     return c.groupBy(*keys).agg(F.count("_v").alias("coverage"), F.count("_kept").alias("kept"), (F.avg if mean else F.median)("_kept").alias("value"))
 
 
+SMALL_GROUP = 100_000
+
+
+def group_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int = 10_000) -> DataFrame:
+    """Per group exact, linearly interpolated percentiles: ``wanted`` maps a name to (column, percentile).
+
+    Sketches, combined before the shuffle, bracket each percentile's rank in groups of over
+    ``SMALL_GROUP`` values; values under the bracket are counted, and only those inside
+    it are ordered. Null and NaN are left out; a group without a value has none.
+    """
+    names = list(wanted)
+    of = F.array(*[F.struct(F.lit(i).alias("w"), F.col(c).cast("double").alias("v")) for i, (c, _) in enumerate(wanted.values())])
+    long = df.select(*keys, F.explode(of).alias("e")).select(*keys, "e.w", "e.v").filter("v IS NOT NULL AND NOT isnan(v)")
+    margin = 4.0 / accuracy
+    ends = [x for _, p in wanted.values() for x in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = long.groupBy(*keys, "w").agg(F.count("*").alias("n"), F.percentile_approx("v", ends, accuracy).alias("q"))
+    big = F.col("n") > SMALL_GROUP
+    limits = sketch.select(
+        *keys, "w", "n", F.when(big, F.get("q", 2 * F.col("w"))).otherwise(float("-inf")).alias("lo"), F.when(big, F.get("q", 2 * F.col("w") + 1)).otherwise(float("inf")).alias("hi"),
+        (F.get(F.array(*[F.lit(p) for _, p in wanted.values()]), F.col("w")) * (F.col("n") - 1)).alias("rank"),
+    )
+    near = long.join(limits, [*keys, "w"])
+    outside = near.groupBy(*keys, "w").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.min(F.when(F.col("v") > F.col("hi"), F.col("v"))).alias("above"), F.first("rank").alias("rank"))
+    inside = near.filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(*keys, "w", "v").count()
+    run = inside.withColumn("upto", F.sum("count").over(Window.partitionBy(*keys, "w").orderBy("v"))).join(outside, [*keys, "w"])
+    at, first = F.col("upto") + F.col("below"), F.floor("rank")
+    got = run.groupBy(*keys, "w").agg(F.min(F.when(at > first, F.col("v"))).alias("a"), F.min(F.when(at > F.ceil("rank"), F.col("v"))).alias("b"), F.first("above").alias("above"), F.first("rank").alias("rank"))
+    value = F.col("a") + (F.coalesce("b", "above") - F.col("a")) * (F.col("rank") - F.floor("rank"))
+    return got.groupBy(*keys).agg(*[F.max(F.when(F.col("w") == i, value)).alias(name) for i, name in enumerate(names)])
+
+
+def clipped_large(df: DataFrame, keys: list[str], value: str, sigma: float, rounds: int, least: int = 3) -> DataFrame:
+    """As ``clipped`` with ``width="std"``, for groups of any size: written once, each round only adds a small table of bounds."""
+    base = written(df, "clip")
+    n = base.groupBy(*keys).agg(F.count(value).alias("_n"))
+    bounds = n.select(*keys, "_n", F.lit(float("-inf")).alias("_lo"), F.lit(float("inf")).alias("_hi"))
+    kept = F.when((F.col("_n") < least) | F.col(value).between(F.col("_lo"), F.col("_hi")), F.col(value))
+    for _ in range(rounds):
+        now = base.join(bounds, keys).withColumn("_kept", kept)
+        s = now.groupBy(*keys).agg(F.stddev_pop("_kept").alias("_s"))
+        c = group_percentiles(now, keys, {"_c": ("_kept", 0.5)})
+        lo, hi = F.col("_c") - sigma * F.col("_s"), F.col("_c") + sigma * F.col("_s")
+        bounds = written(bounds.join(s, keys, "left").join(c, keys, "left").select(*keys, "_n", F.greatest("_lo", lo).alias("_lo"), F.least("_hi", hi).alias("_hi")), "bounds")
+    return base.join(bounds, keys).withColumn("_kept", kept).drop("_lo", "_hi")
+
+
 def whole_percentiles(df: DataFrame, value: str, at: list[float], accuracy: int = 10_000) -> list[float | None]:
     """Exact, linearly interpolated percentiles of a whole column without gathering it.
 

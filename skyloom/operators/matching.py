@@ -7,9 +7,11 @@ join is on (grp, cell). Ties go to the smaller id. Positions must be finite.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.functions import robust
+
 
 def _cell(c: str, radius: float) -> Column:
     return F.floor(F.col(c) / F.lit(radius)).cast("bigint")
@@ -58,7 +60,7 @@ def one_to_one(a: DataFrame, b: DataFrame, radius: float) -> DataFrame:
 
 def translation(matches: DataFrame) -> DataFrame:
     """Per group: ``n``, median ``dx``, ``dy``, and rms and largest distance from that shift."""
-    w = Window.partitionBy("grp")
-    m = matches.withColumn("mx", F.median("dx").over(w)).withColumn("my", F.median("dy").over(w))
+    shift = robust.group_percentiles(matches, ["grp"], {"mx": ("dx", 0.5), "my": ("dy", 0.5)})
+    m = matches.join(shift, "grp")
     r2 = (F.col("dx") - F.col("mx")) * (F.col("dx") - F.col("mx")) + (F.col("dy") - F.col("my")) * (F.col("dy") - F.col("my"))
     return m.groupBy("grp").agg(F.count("*").alias("n"), F.first("mx").alias("dx"), F.first("my").alias("dy"), F.sqrt(F.avg(r2)).alias("residual_rms"), F.sqrt(F.max(r2)).alias("residual_max"))

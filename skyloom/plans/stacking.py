@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import robust
 from skyloom.operators import graphs, matching
-from skyloom.session import table
+from skyloom.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,11 +102,12 @@ d AS (SELECT *, median(k) OVER (PARTITION BY mosaic_key) AS mid FROM c3)
 SELECT mosaic_key, count(v) AS n, count(k) AS kept, any_value(mid) AS fwhm_px, 1.4826::double * median(abs(k - mid)) AS scatter_px, median(CASE WHEN k IS NOT NULL THEN axis_ratio END) AS axis_ratio FROM d GROUP BY mosaic_key""")
 def fwhm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stars(spark, sf_dir).select("mosaic_key", robust.finite(F.col("fwhm_px")).alias("v"), "axis_ratio")
-    c = robust.clipped(rows, ["mosaic_key"], "v", 3.0, 3, "std", 4).withColumn("mid", F.median("_kept").over(Window.partitionBy("mosaic_key")))
-    return c.groupBy("mosaic_key").agg(
-        F.count("v").alias("n"), F.count("_kept").alias("kept"), F.first("mid").alias("fwhm_px"), (F.lit(1.4826) * F.median(F.abs(F.col("_kept") - F.col("mid")))).alias("scatter_px"),
-        F.median(F.when(F.col("_kept").isNotNull(), F.col("axis_ratio"))).alias("axis_ratio"),
-    )
+    c = written(robust.clipped_large(rows, ["mosaic_key"], "v", 3.0, 3, 4).withColumn("axis_ratio", F.when(F.col("_kept").isNotNull(), F.col("axis_ratio"))), "kept")
+    mid = robust.group_percentiles(c, ["mosaic_key"], {"fwhm_px": ("_kept", 0.5), "axis_ratio": ("axis_ratio", 0.5)})
+    off = c.join(mid.select("mosaic_key", "fwhm_px"), "mosaic_key").withColumn("off", F.abs(F.col("_kept") - F.col("fwhm_px")))
+    mad = robust.group_percentiles(off, ["mosaic_key"], {"mad": ("off", 0.5)})
+    n = c.groupBy("mosaic_key").agg(F.count("v").alias("n"), F.count("_kept").alias("kept"))
+    return n.join(mid, "mosaic_key", "left").join(mad, "mosaic_key", "left").select("mosaic_key", "n", "kept", "fwhm_px", (F.lit(1.4826) * F.col("mad")).alias("scatter_px"), "axis_ratio")
 
 
 @query(f"""WITH {STARS_SQL}, t AS (SELECT mosaic_key, floor(x / 512) AS tx, floor(y / 512) AS ty, CASE WHEN isfinite(pedestal) THEN pedestal END AS v FROM stars),
@@ -187,12 +188,11 @@ def cross_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per filter the shift of its stars' nearest matches, and whether it is negligible."""
     a, b = catalogues(spark, sf_dir)
     names = stars(spark, sf_dir).select(F.col("star_id").alias("a_id"), "filter_name")
-    m = matching.nearest(a, b, RADIUS).join(names, "a_id")
-    return m.groupBy(F.col("filter_name").alias("channel")).agg(
-        F.count("*").alias("n"), F.median("dx").alias("dx"), F.median("dy").alias("dy"), F.median(F.sqrt("d2")).alias("raw_distance"),
-        F.round(F.avg((F.sqrt("d2") <= 0.5).cast("double")), 9).alias("within"),
-        (F.sqrt(F.median("dx") * F.median("dx") + F.median("dy") * F.median("dy")) < 0.25).alias("negligible"),
-    )
+    m = written(matching.nearest(a, b, RADIUS).join(names, "a_id").select("filter_name", "dx", "dy", F.sqrt("d2").alias("d")), "matches")
+    n = m.groupBy("filter_name").agg(F.count("*").alias("n"), F.round(F.avg((F.col("d") <= 0.5).cast("double")), 9).alias("within"))
+    p = robust.group_percentiles(m, ["filter_name"], {"dx": ("dx", 0.5), "dy": ("dy", 0.5), "raw_distance": ("d", 0.5)})
+    small = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")) < 0.25
+    return n.join(p, "filter_name").select(F.col("filter_name").alias("channel"), "n", "dx", "dy", "raw_distance", "within", small.alias("negligible"))
 
 
 @query(_PAIRS + """, d AS (SELECT filter_name, sqrt(d2) AS d, median(sqrt(d2)) OVER (PARTITION BY filter_name) AS med FROM g)
@@ -200,12 +200,12 @@ SELECT filter_name, count(*) AS n, any_value(med) AS median_px, round(sqrt(avg(d
   1.4826::double * median(abs(d - med)) AS mad_sigma_px, round(avg(CASE WHEN d <= 0.5 THEN 1.0 ELSE 0.0 END), 9) AS within FROM d GROUP BY filter_name""")
 def star_offset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = stars(spark, sf_dir).select(F.col("star_id").alias("a_id"), "filter_name")
-    m = matching.one_to_one(*catalogues(spark, sf_dir), RADIUS).join(names, "a_id").withColumn("d", F.sqrt("d2"))
-    m = m.withColumn("med", F.median("d").over(Window.partitionBy("filter_name")))
-    return m.groupBy("filter_name").agg(
-        F.count("*").alias("n"), F.first("med").alias("median_px"), F.round(F.sqrt(F.avg(F.col("d") * F.col("d"))), 9).alias("rms_px"), F.percentile("d", 0.16).alias("p16_px"),
-        F.percentile("d", 0.84).alias("p84_px"), (F.lit(1.4826) * F.median(F.abs(F.col("d") - F.col("med")))).alias("mad_sigma_px"), F.round(F.avg((F.col("d") <= 0.5).cast("double")), 9).alias("within"),
-    )
+    m = written(matching.one_to_one(*catalogues(spark, sf_dir), RADIUS).join(names, "a_id").select("filter_name", F.sqrt("d2").alias("d")), "matches")
+    p = robust.group_percentiles(m, ["filter_name"], {"median_px": ("d", 0.5), "p16_px": ("d", 0.16), "p84_px": ("d", 0.84)})
+    off = m.join(p, "filter_name").select("filter_name", F.abs(F.col("d") - F.col("median_px")).alias("off"))
+    mad = robust.group_percentiles(off, ["filter_name"], {"mad": ("off", 0.5)})
+    n = m.groupBy("filter_name").agg(F.count("*").alias("n"), F.round(F.sqrt(F.avg(F.col("d") * F.col("d"))), 9).alias("rms_px"), F.round(F.avg((F.col("d") <= 0.5).cast("double")), 9).alias("within"))
+    return n.join(p, "filter_name").join(mad, "filter_name").withColumn("mad_sigma_px", F.lit(1.4826) * F.col("mad")).drop("mad")
 
 
 @query(_PAIRS + """, d AS (SELECT filter_name, fb - fa AS d FROM g WHERE isfinite(fa) AND isfinite(fb)),
@@ -218,13 +218,15 @@ def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = stars(spark, sf_dir).select("star_id", "filter_name", robust.finite(F.col("flux")).alias("flux"))
     m = matching.one_to_one(*catalogues(spark, sf_dir), RADIUS)
     m = m.join(f.select(F.col("star_id").alias("a_id"), "filter_name", F.col("flux").alias("fa")), "a_id").join(f.select(F.col("star_id").alias("b_id"), F.col("flux").alias("fb")), "b_id")
-    w = Window.partitionBy("filter_name")
-    d = m.withColumn("d", F.col("fb") - F.col("fa")).filter("d IS NOT NULL").withColumn("med", F.median("d").over(w)).withColumn("s", F.lit(1.4826) * F.median(F.abs(F.col("d") - F.col("med"))).over(w))
-    clean = F.when(F.abs(F.col("d") - F.col("med")) < 3.0 * F.greatest(F.col("s"), F.lit(1e-12)), F.col("d"))
-    return d.groupBy("filter_name").agg(
-        F.count("*").alias("n"), F.first("med").alias("median_diff"), F.round(F.avg("d"), 6).alias("mean_diff"), F.round(F.sqrt(F.avg(F.col("d") * F.col("d"))), 6).alias("rms_diff"), F.first("s").alias("mad_diff"),
-        F.percentile("d", 0.01).alias("p1"), F.percentile("d", 0.99).alias("p99"), F.count(clean).alias("n_clean"), F.round(F.avg(clean), 6).alias("clean_mean"),
+    d = written(m.select("filter_name", (F.col("fb") - F.col("fa")).alias("d")).filter("d IS NOT NULL"), "differences")
+    p = robust.group_percentiles(d, ["filter_name"], {"median_diff": ("d", 0.5), "p1": ("d", 0.01), "p99": ("d", 0.99)})
+    off = d.join(p, "filter_name").withColumn("off", F.abs(F.col("d") - F.col("median_diff")))
+    mad = robust.group_percentiles(off, ["filter_name"], {"mad": ("off", 0.5)}).select("filter_name", (F.lit(1.4826) * F.col("mad")).alias("mad_diff"))
+    clean = F.when(F.col("off") < 3.0 * F.greatest(F.col("mad_diff"), F.lit(1e-12)), F.col("d"))
+    n = off.join(mad, "filter_name").groupBy("filter_name").agg(
+        F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean_diff"), F.round(F.sqrt(F.avg(F.col("d") * F.col("d"))), 6).alias("rms_diff"), F.count(clean).alias("n_clean"), F.round(F.avg(clean), 6).alias("clean_mean"),
     )
+    return n.join(p, "filter_name").join(mad, "filter_name")
 
 
 @query(f"""WITH {STARS_SQL} SELECT filter_name, star_id, flux, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY filter_name ORDER BY flux DESC, star_id) AS rn FROM stars WHERE isfinite(flux)) WHERE rn <= 400""")

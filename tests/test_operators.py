@@ -175,3 +175,17 @@ def test_stream_counts_repeated_deliveries_once(spark, tmp_path):
     q = arrivals.windowed(s, "at", "key", "id", "v").writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
     q.awaitTermination(120)
     assert all(r["n"] == 60 for r in spark.table("w").collect())
+
+
+@pytest.mark.parametrize("small", [100_000, 50])
+def test_group_percentiles_are_exact(spark, small, monkeypatch):
+    monkeypatch.setattr(robust, "SMALL_GROUP", small)
+    rng = np.random.default_rng(6)
+    rows = [(k, float(v), float(v) ** 2 if i % 7 else None) for k, n in (("a", 1), ("b", 2), ("c", 3000), ("d", 801)) for i, v in enumerate(rng.normal(size=n).round(2))]
+    df = spark.createDataFrame([*rows, ("a", float("nan"), None), ("e", None, None)], "k string, v double, u double")
+    got = {r["k"]: r for r in robust.group_percentiles(df, ["k"], {"m": ("v", 0.5), "p": ("v", 0.99), "u": ("u", 0.16)}, accuracy=200).collect()}
+    for k in "abcd":
+        v, u = [r[1] for r in rows if r[0] == k], [r[2] for r in rows if r[0] == k and r[2] is not None]
+        assert got[k]["m"] == pytest.approx(np.quantile(v, 0.5), abs=1e-12) and got[k]["p"] == pytest.approx(np.quantile(v, 0.99), abs=1e-12)
+        assert (got[k]["u"] is None and not u) or got[k]["u"] == pytest.approx(np.quantile(u, 0.16), abs=1e-12)
+    assert "e" not in got
