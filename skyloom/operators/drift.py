@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.session import written
+
 INTEGER, NUMBER, BOOLEAN, STRING = 1, 2, 4, 8
 NAMES = {0: "none", INTEGER: "integer", NUMBER: "number", BOOLEAN: "boolean", STRING: "string"}
 
@@ -136,7 +138,7 @@ def changes_of(long: DataFrame, share: float = 0.5) -> DataFrame:
     have no changes. Repeated rows and rows of a group with several values count
     once per value.
     """
-    files = with_previous(headers_of(long)).filter(F.col("previous_file").isNotNull())
+    files = written(with_previous(written(headers_of(long), "headers")).filter(F.col("previous_file").isNotNull()), "files")
     files = files.withColumn("came", F.array_except(F.map_keys("header"), F.map_keys("before"))).withColumn("went", F.array_except(F.map_keys("before"), F.map_keys("header")))
 
     pairs = files.filter((F.size("came") > 0) & (F.size("went") > 0)).select("series", "file", "previous_file", "came", "went")
