@@ -28,7 +28,8 @@ from skyloom.session import written
 
 PART, OVERLAP = 4096, 64
 WIDTH, STEP = 26, 5
-KNOWN = 14  # a passage's least words of the items' vocabulary
+# Wherever a leaked stretch lies, one of the windows over it has at least so many words of the items' vocabulary.
+KNOWN = 18
 RANK, SPARE, SEED = 256, 16, 5
 COSINE = 0.6
 MAX_VOCABULARY, MAX_ITEM_WORDS = 1_000_000, 4_000_000
@@ -114,7 +115,7 @@ def _added_up(parts: DataFrame, basis: np.ndarray, weight: np.ndarray, unknown:
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, q = np.zeros((n_terms, width)), basis.astype(np.float32)
         for _, off, ids in _blocks(batches):
-            for _, terms, x in Passages(off, ids, weight, unknown, step=WIDTH).rows():
+            for _, terms, x in Passages(off, ids, weight, unknown, step=WIDTH, known=1).rows():
                 total[terms] += x.T @ (x @ q[terms])
         blocks = [total[i : i + step].tobytes() for i in range(0, n_terms, step)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "data"])
