@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import robust
-from skyloom.operators import graphs, images, planning
+from skyloom.operators import detection, graphs, images, planning
 from skyloom.plans.stacking import STARS_SQL, stars
 from skyloom.session import table
 
@@ -388,3 +388,23 @@ def strided_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("mosaic_key")
     s = s.withColumn("i", F.row_number().over(w.orderBy("star_id")) - 1).withColumn("n", F.count("*").over(w))
     return s.filter(F.expr("i % greatest(1, n div 200) = 0")).select("mosaic_key", "star_id", "flux")
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stars(spark, sf_dir).select(
+        F.col("mosaic_key").alias("grp"), F.col("star_id").alias("id"), "x", "y", robust.finite(F.col("amp")).alias("amp"), robust.finite(F.col("pedestal")).alias("pedestal"),
+        robust.finite(F.col("fwhm_px")).alias("fwhm"), robust.finite(F.col("fwhm_major_px")).alias("major"), robust.finite(F.col("fwhm_minor_px")).alias("minor"),
+    )
+    return s.filter("amp > 0 AND pedestal IS NOT NULL AND fwhm BETWEEN 0.5 AND 10 AND major BETWEEN 0.5 AND 10 AND minor BETWEEN 0.5 AND 10")
+
+
+@query()
+def detect_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stars found again on the tiles that the fitted profiles draw."""
+    return detection.detections(_profiles(spark, sf_dir))
+
+
+@query()
+def fit_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles fitted to each star's cut-out."""
+    return detection.fitted(_profiles(spark, sf_dir).drop("grp", "fwhm"))

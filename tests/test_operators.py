@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import robust
-from skyloom.operators import graphs, images, matching, planning
-from skyloom.sources import documents, fits
+from skyloom.operators import detection, graphs, images, matching, planning
+from skyloom.sources import documents, files, fits
 from skyloom.streaming import arrivals
 
 
@@ -189,3 +189,34 @@ def test_group_percentiles_are_exact(spark, small, monkeypatch):
         assert got[k]["m"] == pytest.approx(np.quantile(v, 0.5), abs=1e-12) and got[k]["p"] == pytest.approx(np.quantile(v, 0.99), abs=1e-12)
         assert (got[k]["u"] is None and not u) or got[k]["u"] == pytest.approx(np.quantile(u, 0.16), abs=1e-12)
     assert "e" not in got
+
+
+def test_detection_finds_each_separated_star_once(spark):
+    rng = np.random.default_rng(8)
+    at = [(20.0 * i + rng.uniform(-3, 3), 20.0 * j + rng.uniform(-3, 3)) for i in range(12) for j in range(12)]
+    s = spark.createDataFrame([("g", k, float(x), float(y), 50.0, 3.0) for k, (x, y) in enumerate(at)], "grp string, id bigint, x double, y double, amp double, fwhm double")
+    got = np.array([(r["x"], r["y"]) for r in detection.detections(s).collect()])
+    assert len(got) == len(at)
+    d = np.sqrt(((got[:, None] - np.array(at)[None]) ** 2).sum(2))
+    assert d.min(0).max() < 0.1 and d.min(1).max() < 0.1
+
+
+def test_fits_recover_planted_profiles(spark):
+    rng = np.random.default_rng(9)
+    rows = [(k, float(x), float(y), float(a), 10.0, float(m), float(m * q)) for k, (x, y, a, m, q) in enumerate(zip(rng.uniform(0, 99, 60), rng.uniform(0, 99, 60), rng.uniform(5, 500, 60), rng.uniform(1.8, 5, 60), rng.uniform(0.7, 1, 60)))]
+    s = spark.createDataFrame(rows, "id bigint, x double, y double, amp double, pedestal double, major double, minor double")
+    got = {r["id"]: r for r in detection.fitted(s).collect()}
+    for k, _, _, a, b, major, minor in rows:
+        r = got[k]
+        assert r["is_usable"] and r["fwhm_major_px"] == pytest.approx(major, rel=0.03) and r["fwhm_minor_px"] == pytest.approx(minor, rel=0.03) and r["amp"] == pytest.approx(a, rel=0.03)
+
+
+def test_listing_and_manifest(spark, tmp_path):
+    for d, n in (("a", "x_cal.fits"), ("b", "x_cal.fits"), ("b", "y_cal.fits"), ("b", "z.txt")):
+        (tmp_path / d).mkdir(exist_ok=True)
+        (tmp_path / d / n).write_bytes(b"1" * (3 if d == "b" else 1))
+    got = {r["name"]: r["length"] for r in files.listing(spark, str(tmp_path)).collect()}
+    assert got == {"x_cal.fits": 3, "y_cal.fits": 3}
+    rows = spark.createDataFrame([("a,b", 1), ('quo"te', None)], "name string, size bigint")
+    files.write_manifest(rows, str(tmp_path / "m"))
+    assert sorted(map(tuple, files.read_manifest(spark, str(tmp_path / "m"), "name string, size bigint").collect())) == [("a,b", 1), ('quo"te', None)]
