@@ -32,7 +32,7 @@ CELL = 16.0
 
 
 def image(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stars(spark, sf_dir).withColumn("flux", robust.finite(F.col("flux"))).filter("flux IS NOT NULL AND x >= 0 AND y >= 0")
+    s = stars(spark, sf_dir, "flux").withColumn("flux", robust.finite(F.col("flux"))).filter("flux IS NOT NULL AND x >= 0 AND y >= 0")
     px = s.groupBy(F.col("mosaic_key").alias("grp"), F.floor(F.col("y") / CELL).cast("bigint").alias("y"), F.floor(F.col("x") / CELL).cast("bigint").alias("x")).agg(F.max("flux").alias("v"))
     w = px.groupBy("grp").agg((F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("cols"))
     return px.join(w, "grp")
@@ -50,9 +50,9 @@ def block_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_IMAGE + """, t AS (SELECT grp, y - j AS y, x - i AS x, v * (1 - abs(j - 0.25)) * (1 - abs(i - 0.375)) AS wv FROM (SELECT *, unnest([0, 1]) AS j FROM (SELECT *, unnest([0, 1]) AS i FROM im)))
-SELECT grp, y, x, round(sum(wv), 6) AS v FROM t GROUP BY ALL HAVING count(*) = 4""")
+SELECT grp, y, x, round(sum(wv), 9) AS v FROM t GROUP BY ALL HAVING count(*) = 4""")
 def bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return images.bilinear(image(spark, sf_dir).drop("rows", "cols"), 0.25, 0.375).withColumn("v", F.round("v", 6))
+    return images.bilinear(image(spark, sf_dir).drop("rows", "cols"), 0.25, 0.375).withColumn("v", F.round("v", 9))
 
 
 @query(_IMAGE + """, h AS (SELECT grp, quantile_cont(v, 0.99) AS lim FROM im GROUP BY grp),
@@ -79,7 +79,7 @@ SELECT cx, cy, r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL AND r <> 0 AND
   CASE WHEN r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL AND r <> 0 AND g <> 0 AND b <> 0 THEN CAST(round_even(least(greatest((asinh(b / 9.9::double) - asinh(1.0::double / 9.9::double)) / (asinh(100.0::double / 9.9::double) - asinh(1.0::double / 9.9::double)), 0.0), 1.0) * 65535.0::double, 0) AS INTEGER) ELSE 0 END AS blue FROM p""")
 def rgb_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three channels on one grid; a pixel is black in all bands unless every band has a value other than 0."""
-    s = stars(spark, sf_dir).select(F.floor(F.col("x") / 256).cast("bigint").alias("cx"), F.floor(F.col("y") / 256).cast("bigint").alias("cy"), "filter_name", robust.finite(F.col("flux")).alias("flux")).filter("flux IS NOT NULL")
+    s = stars(spark, sf_dir, "filter_name", "flux").select(F.floor(F.col("x") / 256).cast("bigint").alias("cx"), F.floor(F.col("y") / 256).cast("bigint").alias("cy"), "filter_name", robust.finite(F.col("flux")).alias("flux")).filter("flux IS NOT NULL")
     p = s.groupBy("cx", "cy").pivot("filter_name", ["F444W", "F200W", "F090W"]).agg(F.median("flux")).withColumnsRenamed({"F444W": "r", "F200W": "g", "F090W": "b"})
     whole = F.coalesce((F.col("r") != 0) & (F.col("g") != 0) & (F.col("b") != 0), F.lit(False))
     dn = lambda c: F.when(whole, images.quantised(images.asinh_stretch(F.col(c), 1.0, 100.0, softening=9.9))).otherwise(0)
@@ -96,7 +96,7 @@ def asinh_stretch_u16(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {STARS_SQL} SELECT quantile_cont(flux, 0.01) AS low, quantile_cont(flux, 0.995) AS high FROM stars WHERE isfinite(flux)")
 def shared_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Limits of one stretch shared by all channels: percentiles of the pooled flux."""
-    lo, hi = robust.whole_percentiles(stars(spark, sf_dir), "flux", [0.01, 0.995])
+    lo, hi = robust.whole_percentiles(stars(spark, sf_dir, "flux"), "flux", [0.01, 0.995])
     return spark.createDataFrame([(lo, hi)], "low double, high double")
 
 
@@ -104,7 +104,7 @@ def shared_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT star_id, round(least(greatest(asinh((flux - (lo + hi) / 2) / (greatest(hi - lo, 1e-12) / 2)), -1.0), 1.0), 9) AS shown FROM stars JOIN l USING (mosaic_key) WHERE isfinite(flux)""")
 def display_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each star's flux on its own mosaic's display scale: asinh about the centre of its percentiles."""
-    s = stars(spark, sf_dir).select("star_id", "mosaic_key", robust.finite(F.col("flux")).alias("flux")).filter("flux IS NOT NULL")
+    s = stars(spark, sf_dir, "flux").select("star_id", "mosaic_key", robust.finite(F.col("flux")).alias("flux")).filter("flux IS NOT NULL")
     lim = s.groupBy("mosaic_key").agg(F.percentile("flux", 0.01).alias("lo"), F.percentile("flux", 0.995).alias("hi"))
     y = F.asinh((F.col("flux") - (F.col("lo") + F.col("hi")) / 2) / (F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12)) / 2))
     return s.join(lim, "mosaic_key").select("star_id", F.round(F.least(F.greatest(y, F.lit(-1.0)), F.lit(1.0)), 9).alias("shown"))
@@ -182,7 +182,7 @@ SELECT grp, tx, ty, count(*) AS patches FROM t GROUP BY ALL""")
 def tile_frame_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many star patches each tile must load."""
     half = F.greatest(F.lit(6), F.ceil(4 * F.col("fwhm_px") / 2.3548))
-    b = stars(spark, sf_dir).filter(robust.finite(F.col("fwhm_px")).isNotNull()).select(F.col("mosaic_key").alias("grp"), (F.col("x") - half).alias("x0"), (F.col("y") - half).alias("y0"), (F.col("x") + half).alias("x1"), (F.col("y") + half).alias("y1"))
+    b = stars(spark, sf_dir, "fwhm_px").filter(robust.finite(F.col("fwhm_px")).isNotNull()).select(F.col("mosaic_key").alias("grp"), (F.col("x") - half).alias("x0"), (F.col("y") - half).alias("y0"), (F.col("x") + half).alias("x1"), (F.col("y") + half).alias("y1"))
     return planning.tiles_touched(b, 128).groupBy("grp", "tx", "ty").agg(F.count("*").alias("patches"))
 
 
@@ -208,7 +208,7 @@ b AS (SELECT grp, n, mx, my, mf, sum((x - mx) * (x - mx)) AS xx, sum((y - my) *
 SELECT grp, n, round((yy * xf - xy * yf) / (xx * yy - xy * xy), 9) AS gx, round((xx * yf - xy * xf) / (xx * yy - xy * xy), 9) AS gy, round(mf, 6) AS mean FROM b WHERE xx * yy - xy * xy > 0""")
 def planar_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gradient of the star width over each mosaic: least squares on x and y from centred sums."""
-    k = stars(spark, sf_dir).select(F.col("mosaic_key").alias("grp"), robust.finite(F.col("fwhm_px")).alias("f"), "x", "y").filter("f IS NOT NULL")
+    k = stars(spark, sf_dir, "fwhm_px").select(F.col("mosaic_key").alias("grp"), robust.finite(F.col("fwhm_px")).alias("f"), "x", "y").filter("f IS NOT NULL")
     a = k.groupBy("grp").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("f").alias("mf"))
     x, y, f = F.col("x") - F.col("mx"), F.col("y") - F.col("my"), F.col("f") - F.col("mf")
     b = k.join(a, "grp").groupBy("grp").agg(F.count("*").alias("n"), F.first("mf").alias("mf"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"), F.sum(x * f).alias("xf"), F.sum(y * f).alias("yf"))
@@ -384,14 +384,14 @@ def gaussian_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT mosaic_key, star_id, flux FROM n WHERE i % greatest(1, n // 200) = 0""")
 def strided_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every k-th star of a mosaic in id order, k = max(1, stars // 200): a sampling operator."""
-    s = stars(spark, sf_dir).select("mosaic_key", "star_id", robust.finite(F.col("flux")).alias("flux")).filter("flux IS NOT NULL")
+    s = stars(spark, sf_dir, "flux").select("mosaic_key", "star_id", robust.finite(F.col("flux")).alias("flux")).filter("flux IS NOT NULL")
     w = Window.partitionBy("mosaic_key")
     s = s.withColumn("i", F.row_number().over(w.orderBy("star_id")) - 1).withColumn("n", F.count("*").over(w))
     return s.filter(F.expr("i % greatest(1, n div 200) = 0")).select("mosaic_key", "star_id", "flux")
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stars(spark, sf_dir).select(
+    s = stars(spark, sf_dir, "amp", "pedestal", "fwhm_px", "fwhm_major_px", "fwhm_minor_px").select(
         F.col("mosaic_key").alias("grp"), F.col("star_id").alias("id"), "x", "y", robust.finite(F.col("amp")).alias("amp"), robust.finite(F.col("pedestal")).alias("pedestal"),
         robust.finite(F.col("fwhm_px")).alias("fwhm"), robust.finite(F.col("fwhm_major_px")).alias("major"), robust.finite(F.col("fwhm_minor_px")).alias("minor"),
     )

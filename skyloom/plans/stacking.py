@@ -54,9 +54,9 @@ def stack_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust.stacked(rows, ["pixel"], "l_extendedprice", sigma=1.5, mean=True).withColumn("value", F.round("value", 6))
 
 
-def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each star once, with a finite position."""
-    rows = table(spark, sf_dir, "star_fits").drop("loaded_at").distinct()
+def stars(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Each star once, with a finite position and these columns of it: no others are read or shuffled."""
+    rows = table(spark, sf_dir, "star_fits").select("star_id", "mosaic_key", "x", "y", *columns).distinct()
     return rows.withColumn("x", robust.finite(F.col("x"))).withColumn("y", robust.finite(F.col("y"))).filter("x IS NOT NULL AND y IS NOT NULL AND mosaic_key IS NOT NULL")
 
 
@@ -66,7 +66,7 @@ STARS_SQL = "stars AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM star_fits WHER
 @query(f"""WITH {STARS_SQL}, src AS (SELECT mosaic_key, CAST(floor(x / 64) AS BIGINT) AS cx, CAST(floor(y / 64) AS BIGINT) AS cy, CASE WHEN isfinite(flux) THEN flux END AS v FROM stars),
 {clip_sql("src", "mosaic_key, cx, cy", "3.0", 3)} SELECT mosaic_key, cx, cy, count(v) AS coverage, count(k) AS kept, median(k) AS value FROM c3 GROUP BY ALL""")
 def stack_star_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cell = stars(spark, sf_dir).select("mosaic_key", F.floor(F.col("x") / 64).cast("bigint").alias("cx"), F.floor(F.col("y") / 64).cast("bigint").alias("cy"), robust.finite(F.col("flux")).alias("flux"))
+    cell = stars(spark, sf_dir, "flux").select("mosaic_key", F.floor(F.col("x") / 64).cast("bigint").alias("cx"), F.floor(F.col("y") / 64).cast("bigint").alias("cy"), robust.finite(F.col("flux")).alias("flux"))
     return robust.stacked(cell, ["mosaic_key", "cx", "cy"], "flux")
 
 
@@ -80,20 +80,22 @@ _REGS = """regs AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM frame_registratio
 rms AS (SELECT group_key, CASE WHEN isfinite(residual_rms_px) THEN residual_rms_px END AS v FROM regs)"""
 
 
-def registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "frame_registrations").drop("loaded_at").distinct().filter(~F.coalesce("is_reference", F.lit(False)))
+def registrations(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Each measurement once, with these columns of it."""
+    rows = table(spark, sf_dir, "frame_registrations").filter(~F.coalesce("is_reference", F.lit(False)))
+    return rows.select("reg_id", *columns).distinct()
 
 
 @query(f"WITH {_REGS}, {clip_sql('rms', 'group_key', '3.0', 1)} SELECT group_key, count(v) AS n, count(k) AS kept, median(k) AS med FROM c1 GROUP BY group_key")
 def mad_clip_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = registrations(spark, sf_dir).select("group_key", robust.finite(F.col("residual_rms_px")).alias("v"))
+    rows = registrations(spark, sf_dir, "group_key", "residual_rms_px").select("group_key", robust.finite(F.col("residual_rms_px")).alias("v"))
     return robust.clipped(rows, ["group_key"], "v", 3.0, 1).groupBy("group_key").agg(F.count("v").alias("n"), F.count("_kept").alias("kept"), F.median("_kept").alias("med"))
 
 
 @query(f"""WITH regs AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM frame_registrations), src AS (SELECT group_key, CASE WHEN isfinite(background_offset) THEN background_offset END AS v FROM regs),
 {clip_sql("src", "group_key", "3.0", 5, "std")} SELECT group_key, count(k) AS kept, median(k) AS background FROM c5 GROUP BY group_key""")
 def background_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "frame_registrations").drop("loaded_at").distinct().select("group_key", robust.finite(F.col("background_offset")).alias("v"))
+    rows = table(spark, sf_dir, "frame_registrations").select("reg_id", "group_key", "background_offset").distinct().select("group_key", robust.finite(F.col("background_offset")).alias("v"))
     return robust.clipped(rows, ["group_key"], "v", 3.0, 5, "std").groupBy("group_key").agg(F.count("_kept").alias("kept"), F.median("_kept").alias("background"))
 
 
@@ -101,7 +103,7 @@ def background_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 d AS (SELECT *, median(k) OVER (PARTITION BY mosaic_key) AS mid FROM c3)
 SELECT mosaic_key, count(v) AS n, count(k) AS kept, any_value(mid) AS fwhm_px, 1.4826::double * median(abs(k - mid)) AS scatter_px, median(CASE WHEN k IS NOT NULL THEN axis_ratio END) AS axis_ratio FROM d GROUP BY mosaic_key""")
 def fwhm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stars(spark, sf_dir).select("mosaic_key", robust.finite(F.col("fwhm_px")).alias("v"), "axis_ratio")
+    rows = stars(spark, sf_dir, "fwhm_px", "axis_ratio").select("mosaic_key", robust.finite(F.col("fwhm_px")).alias("v"), "axis_ratio")
     c = written(robust.clipped_large(rows, ["mosaic_key"], "v", 3.0, 3, 4).withColumn("axis_ratio", F.when(F.col("_kept").isNotNull(), F.col("axis_ratio"))), "kept")
     mid = robust.group_percentiles(c, ["mosaic_key"], {"fwhm_px": ("_kept", 0.5), "axis_ratio": ("axis_ratio", 0.5)})
     off = c.join(mid.select("mosaic_key", "fwhm_px"), "mosaic_key").withColumn("off", F.abs(F.col("_kept") - F.col("fwhm_px")))
@@ -118,7 +120,7 @@ l AS (SELECT mosaic_key, tx, ty, CASE WHEN count(k) >= 16 THEN median(k) ELSE me
 SELECT mosaic_key, count(level) AS tiles, median(level) AS level FROM l GROUP BY mosaic_key""")
 def source_free_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per mosaic the median of its tiles' pedestal levels; a tile is clipped once where at least 16 values survive."""
-    t = stars(spark, sf_dir).select("mosaic_key", F.floor(F.col("x") / 512).alias("tx"), F.floor(F.col("y") / 512).alias("ty"), robust.finite(F.col("pedestal")).alias("v"))
+    t = stars(spark, sf_dir, "pedestal").select("mosaic_key", F.floor(F.col("x") / 512).alias("tx"), F.floor(F.col("y") / 512).alias("ty"), robust.finite(F.col("pedestal")).alias("v"))
     w = Window.partitionBy("mosaic_key", "tx", "ty")
     t = t.withColumn("c", F.median("v").over(w)).withColumn("s", F.lit(1.4826) * F.median(F.abs(F.col("v") - F.col("c"))).over(w))
     t = t.withColumn("k", F.when((F.col("s") == 0) | (F.abs(F.col("v") - F.col("c")) <= 3.0 * F.col("s")), F.col("v")))
@@ -187,7 +189,7 @@ SELECT filter_name AS channel, count(*) AS n, any_value(mx) AS dx, any_value(my)
 def cross_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per filter the shift of its stars' nearest matches, and whether it is negligible."""
     a, b = catalogues(spark, sf_dir)
-    names = stars(spark, sf_dir).select(F.col("star_id").alias("a_id"), "filter_name")
+    names = stars(spark, sf_dir, "filter_name").select(F.col("star_id").alias("a_id"), "filter_name")
     m = written(matching.nearest(a, b, RADIUS).join(names, "a_id").select("filter_name", "dx", "dy", F.sqrt("d2").alias("d")), "matches")
     n = m.groupBy("filter_name").agg(F.count("*").alias("n"), F.round(F.avg((F.col("d") <= 0.5).cast("double")), 9).alias("within"))
     p = robust.group_percentiles(m, ["filter_name"], {"dx": ("dx", 0.5), "dy": ("dy", 0.5), "raw_distance": ("d", 0.5)})
@@ -199,7 +201,7 @@ def cross_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT filter_name, count(*) AS n, any_value(med) AS median_px, round(sqrt(avg(d * d)), 9) AS rms_px, quantile_cont(d, 0.16) AS p16_px, quantile_cont(d, 0.84) AS p84_px,
   1.4826::double * median(abs(d - med)) AS mad_sigma_px, round(avg(CASE WHEN d <= 0.5 THEN 1.0 ELSE 0.0 END), 9) AS within FROM d GROUP BY filter_name""")
 def star_offset_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = stars(spark, sf_dir).select(F.col("star_id").alias("a_id"), "filter_name")
+    names = stars(spark, sf_dir, "filter_name").select(F.col("star_id").alias("a_id"), "filter_name")
     m = written(matching.one_to_one(*catalogues(spark, sf_dir), RADIUS).join(names, "a_id").select("filter_name", F.sqrt("d2").alias("d")), "matches")
     p = robust.group_percentiles(m, ["filter_name"], {"median_px": ("d", 0.5), "p16_px": ("d", 0.16), "p84_px": ("d", 0.84)})
     off = m.join(p, "filter_name").select("filter_name", F.abs(F.col("d") - F.col("median_px")).alias("off"))
@@ -215,7 +217,7 @@ SELECT filter_name, count(*) AS n, any_value(med) AS median_diff, round(avg(d),
   round(avg(d) FILTER (abs(d - med) < 3.0::double * greatest(s, 1e-12::double)), 6) AS clean_mean FROM s GROUP BY filter_name""")
 def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flux differences of matched stars, whole and without the outlying ones."""
-    f = stars(spark, sf_dir).select("star_id", "filter_name", robust.finite(F.col("flux")).alias("flux"))
+    f = stars(spark, sf_dir, "filter_name", "flux").select("star_id", "filter_name", robust.finite(F.col("flux")).alias("flux"))
     m = matching.one_to_one(*catalogues(spark, sf_dir), RADIUS)
     m = m.join(f.select(F.col("star_id").alias("a_id"), "filter_name", F.col("flux").alias("fa")), "a_id").join(f.select(F.col("star_id").alias("b_id"), F.col("flux").alias("fb")), "b_id")
     d = written(m.select("filter_name", (F.col("fb") - F.col("fa")).alias("d")).filter("d IS NOT NULL"), "differences")
@@ -232,14 +234,14 @@ def diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {STARS_SQL} SELECT filter_name, star_id, flux, CAST(rn AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY filter_name ORDER BY flux DESC, star_id) AS rn FROM stars WHERE isfinite(flux)) WHERE rn <= 400""")
 def topk_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 400 brightest stars of each filter."""
-    s = stars(spark, sf_dir).withColumn("flux", robust.finite(F.col("flux"))).filter("flux IS NOT NULL")
+    s = stars(spark, sf_dir, "filter_name", "flux").withColumn("flux", robust.finite(F.col("flux"))).filter("flux IS NOT NULL")
     w = Window.partitionBy("filter_name").orderBy(F.desc("flux"), "star_id")
     return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 400").select("filter_name", "star_id", "flux", "rank")
 
 
 @query()
 def bright_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stars(spark, sf_dir).select(F.col("mosaic_key").alias("grp"), F.col("star_id").alias("id"), "x", "y", robust.finite(F.col("flux")).alias("flux")).filter("flux IS NOT NULL")
+    s = stars(spark, sf_dir, "flux").select(F.col("mosaic_key").alias("grp"), F.col("star_id").alias("id"), "x", "y", robust.finite(F.col("flux")).alias("flux")).filter("flux IS NOT NULL")
     return graphs.brightest_separated(s, 12.0)
 
 
@@ -248,8 +250,8 @@ def bright_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
 _R = """regs AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM frame_registrations), m AS (SELECT *, regexp_extract(group_key, '^p(.*)_v[0-9]+_', 1) AS field FROM regs WHERE NOT coalesce(is_reference, false) AND isfinite(dx) AND isfinite(dy))"""
 
 
-def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = registrations(spark, sf_dir).withColumn("dx", robust.finite(F.col("dx"))).withColumn("dy", robust.finite(F.col("dy")))
+def measured(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    r = registrations(spark, sf_dir, *columns).withColumn("dx", robust.finite(F.col("dx"))).withColumn("dy", robust.finite(F.col("dy")))
     return r.filter("dx IS NOT NULL AND dy IS NOT NULL").withColumn("field", F.regexp_extract("group_key", "^p(.*)_v[0-9]+_", 1))
 
 
@@ -258,14 +260,14 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registration_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = [F.abs(F.col(x)) for x in ("dx", "dy")] + [F.abs(F.coalesce(F.col(x), F.lit(0.0))) for x in ("visit_dx", "visit_dy")]
     rate = F.when(F.col("n_detected") > 0, F.col("n_matched") / F.col("n_detected"))
-    return measured(spark, sf_dir).select("reg_id", (F.col("dx") + F.col("visit_dx")).alias("total_dx"), (F.col("dy") + F.col("visit_dy")).alias("total_dy"), (F.greatest(*c) >= 0.01).alias("applied"), rate.alias("match_rate"))
+    return measured(spark, sf_dir, "group_key", "dx", "dy", "visit_dx", "visit_dy", "n_detected", "n_matched").select("reg_id", (F.col("dx") + F.col("visit_dx")).alias("total_dx"), (F.col("dy") + F.col("visit_dy")).alias("total_dy"), (F.greatest(*c) >= 0.01).alias("applied"), rate.alias("match_rate"))
 
 
 @query(f"""WITH {_R}, a AS (SELECT field, count(*) AS frames, median(sqrt(dx * dx + dy * dy)) AS median_shift, round(sqrt(avg(dx * dx + dy * dy)), 9) AS rms_shift,
   round(avg(CASE WHEN isfinite(residual_rms_px) THEN residual_rms_px END), 9) AS mean_residual, count(*) FILTER (greatest(abs(dx), abs(dy)) >= 0.01) AS moved FROM m GROUP BY field) SELECT * FROM a""")
 def registration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d2 = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")
-    return measured(spark, sf_dir).groupBy("field").agg(
+    return measured(spark, sf_dir, "group_key", "dx", "dy", "residual_rms_px").groupBy("field").agg(
         F.count("*").alias("frames"), F.median(F.sqrt(d2)).alias("median_shift"), F.round(F.sqrt(F.avg(d2)), 9).alias("rms_shift"),
         F.round(F.avg(robust.finite(F.col("residual_rms_px"))), 9).alias("mean_residual"), F.count_if(F.greatest(F.abs("dx"), F.abs("dy")) >= 0.01).alias("moved"),
     )
@@ -274,7 +276,7 @@ def registration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_R} SELECT group_key, reg_id, CAST(row_number() OVER (PARTITION BY group_key ORDER BY exposure, filename, reg_id) AS INTEGER) AS place FROM m")
 def registration_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("group_key").orderBy("exposure", "filename", "reg_id")
-    return measured(spark, sf_dir).select("group_key", "reg_id", F.row_number().over(w).alias("place"))
+    return measured(spark, sf_dir, "group_key", "exposure", "filename", "dx", "dy").select("group_key", "reg_id", F.row_number().over(w).alias("place"))
 
 
 _GAUGE = f"""WITH {_R}, w AS (SELECT *, median(dx) OVER (PARTITION BY group_key) AS mx, median(dy) OVER (PARTITION BY group_key) AS my, sqrt(dx * dx + dy * dy) AS o FROM m),
@@ -287,7 +289,7 @@ an AS (SELECT * FROM vv QUALIFY row_number() OVER (PARTITION BY field ORDER BY s
 
 def _gauge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("group_key")
-    m = measured(spark, sf_dir).withColumn("o", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).withColumn("mo", F.median("o").over(w))
+    m = measured(spark, sf_dir, "group_key", "visit", "dx", "dy").withColumn("o", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).withColumn("mo", F.median("o").over(w))
     g = m.groupBy("field", "visit", "group_key").agg(F.median("dx").alias("dx_median"), F.median("dy").alias("dy_median"), F.first("mo").alias("offset_median"), F.median(F.abs(F.col("o") - F.col("mo"))).alias("offset_mad"), F.count("*").alias("n"))
     return g.filter("n >= 20")
 
@@ -322,7 +324,7 @@ def suspect_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _visit_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = measured(spark, sf_dir).groupBy("field", "group_key", "visit", "exposure").agg(F.avg("dx").alias("x"), F.avg("dy").alias("y"))
+    m = measured(spark, sf_dir, "group_key", "visit", "exposure", "dx", "dy").groupBy("field", "group_key", "visit", "exposure").agg(F.avg("dx").alias("x"), F.avg("dy").alias("y"))
     a = m.select("field", "exposure", F.col("group_key").alias("a"), F.col("visit").alias("va"), F.col("x").alias("xa"), F.col("y").alias("ya"))
     b = m.select("field", "exposure", F.col("group_key").alias("b"), F.col("visit").alias("vb"), F.col("x").alias("xb"), F.col("y").alias("yb"))
     j = a.join(b, ["field", "exposure"]).filter("a < b AND va <> vb")
