@@ -8,7 +8,7 @@ against the triangles of the boxes they fall into:
   ``LEAF_ROWS`` rows. Its cuts come from a bounded sample (``SAMPLE_ROWS``);
   every row is indexed. Its leaves are disjoint and cover everything, so a
   point goes to one leaf and a triangle to each leaf its box touches.
-* A leaf is one Spark group. In it a second hierarchy over its triangles yields
+* A leaf is one Spark group, and there are as many tasks as leaves. In it a second hierarchy over its triangles yields
   candidate triangles, which are tested exactly.
 
 One crowded plane or spot is cut further like any other, so that no leaf grows
@@ -254,7 +254,7 @@ def near_pairs(at: DataFrame, radius: float, sphere: bool = False, leaf_rows: in
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["id_a", "id_b"])
 
     routed = at.select("id", "z", "x", "y").mapInArrow(route, ROUTED)
-    return routed.groupBy("leaf").applyInArrow(search, "id_a bigint, id_b bigint")
+    return routed.repartition(cuts.leaves, "leaf").groupBy("leaf").applyInArrow(search, "id_a bigint, id_b bigint")
 
 
 # -- points inside regions --------------------------------------------------------------------------
@@ -347,7 +347,7 @@ def regions_of(at: DataFrame, regions: DataFrame, leaf_rows: int = LEAF_ROWS) ->
         yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2] > 0)], ["id", "region_id", "on_boundary"])
 
     both = at.select("id", "z", "x", "y").mapInArrow(route_points, routed).unionByName(regions.filter(F.col("region_id").isNotNull()).select("region_id", "z", "ring").mapInArrow(route_regions, routed))
-    return both.groupBy("leaf").applyInArrow(search, "id bigint, region_id bigint, on_boundary boolean")
+    return both.repartition(cuts.leaves, "leaf").groupBy("leaf").applyInArrow(search, "id bigint, region_id bigint, on_boundary boolean")
 
 
 def _outer(tris, tr, x, y, edge, owner, plane) -> np.ndarray:
