@@ -83,4 +83,4 @@ def differences(left: DataFrame, right: DataFrame, key: str, seen: str, fields:
                 yield out(both[k], name, a.take(pa.array(k)), b.take(pa.array(k)))
 
     both = side(left, True).unionByName(side(right, False))
-    return both.groupBy("block").applyInArrow(compare, "key string, field_name string, left_value string, right_value string")
+    return both.repartition(blocks, "block").groupBy("block").applyInArrow(compare, "key string, field_name string, left_value string, right_value string")
