@@ -49,7 +49,7 @@ def detections(stars: DataFrame, fwhm: float = 3.0, tile: int = TILE, halo: int
             at = tiles[s + i]
             yield pa.RecordBatch.from_arrays([grp.dictionary.take(pa.array(at[:, 0])), pa.array(x + at[:, 1] * tile - halo), pa.array(y + at[:, 2] * tile - halo), pa.array(flux)], ["grp", "x", "y", "flux"])
 
-    return near.select("grp", "tx", "ty", "x", "y", "amp", "fwhm", "block").groupBy("block").applyInArrow(search, "grp string, x double, y double, flux double")
+    return near.select("grp", "tx", "ty", "x", "y", "amp", "fwhm", "block").repartition(blocks, "block").groupBy("block").applyInArrow(search, "grp string, x double, y double, flux double")
 
 
 def fitted(stars: DataFrame, half: int = PATCH, a_batch: int = 1000) -> DataFrame:
