@@ -408,3 +408,35 @@ def detect_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_stars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles fitted to each star's cut-out."""
     return detection.fitted(_profiles(spark, sf_dir).drop("grp", "fwhm"))
+
+
+@query(
+    "WITH b AS ("
+    + SQL["s_region_bbox"].replace("FROM c", "FROM c")
+    + """), f AS (SELECT DISTINCT line_id, file_name FROM obs_lines)
+SELECT file_name, count(*) AS total, count(b.line_id) AS used, min(ra0) AS ra0, max(ra1) AS ra1, min(dec0) AS dec0, max(dec1) AS dec1,
+  CAST(ceil((max(ra1) - min(ra0)) * 3600 / 0.031::double) + 60 AS BIGINT) AS nx, CAST(ceil((max(dec1) - min(dec0)) * 3600 / 0.031::double) + 60 AS BIGINT) AS ny
+FROM f LEFT JOIN b USING (line_id) GROUP BY file_name HAVING count(b.line_id) > 0"""
+)
+def region_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box and north-up grid over all footprints of a listing, and how many of its rows have one."""
+    f = table(spark, sf_dir, "obs_lines").select("line_id", "file_name").distinct()
+    b = QUERIES["s_region_bbox"](spark, sf_dir)
+    u = f.join(b, "line_id", "left").groupBy("file_name").agg(
+        F.count("*").alias("total"), F.count("ra0").alias("used"), F.min("ra0").alias("ra0"), F.max("ra1").alias("ra1"), F.min("dec0").alias("dec0"), F.max("dec1").alias("dec1"))
+    cells = lambda a, b: (F.ceil((F.col(b) - F.col(a)) * 3600 / 0.031) + 60).cast("bigint")
+    return u.filter("used > 0").withColumn("nx", cells("ra0", "ra1")).withColumn("ny", cells("dec0", "dec1"))
+
+
+@query(f"""WITH {STARS_SQL}, l AS (SELECT filter_name, floor(x / 512) AS tx, floor(y / 512) AS ty, mosaic_key, median(pedestal) AS level FROM stars WHERE isfinite(pedestal) GROUP BY ALL),
+b AS (SELECT filter_name, median(level) AS background, count(*) AS tiles FROM l GROUP BY 1), q AS (SELECT quantile_cont(flux, 0.01) AS lo, quantile_cont(flux, 0.995) AS hi FROM stars WHERE isfinite(flux))
+SELECT filter_name, tiles, background, lo AS low, hi AS high, 0.1::double * (hi - lo) AS softening FROM b CROSS JOIN q""")
+def color_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a colour build needs: each channel's background and the stretch that all share."""
+    lo, hi = robust.whole_percentiles(stars(spark, sf_dir, "flux"), "flux", [0.01, 0.995])
+    s = stars(spark, sf_dir, "filter_name", "pedestal").select("filter_name", "mosaic_key", F.floor(F.col("x") / 512).alias("tx"), F.floor(F.col("y") / 512).alias("ty"), robust.finite(F.col("pedestal")).alias("v"))
+    tile = s.filter("v IS NOT NULL").groupBy("filter_name", "mosaic_key", "tx", "ty").agg(F.median("v").alias("level"))
+    n = tile.groupBy("filter_name").agg(F.count("*").alias("tiles"))
+    level = robust.group_percentiles(tile, ["filter_name"], {"background": ("level", 0.5)})
+    shared = {"low": lo, "high": hi, "softening": None if lo is None else 0.1 * (hi - lo)}
+    return n.join(level, "filter_name").withColumns({k: F.lit(v).cast("double") for k, v in shared.items()})
