@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.operators import badrows, copies, drift, near, spikes
@@ -51,9 +51,8 @@ WHERE 2 * asin(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z
 FRAME_SIDE_PX = 2048
 
 
-def p1_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames whose centre lies in the square footprint of a first exposure."""
-    frames = table(spark, sf_dir, "frames")
+def _in_footprints(frames: DataFrame, of: Column) -> DataFrame:
+    """Frames and the square footprints, of the frames with a valid position and ``of``, that their centres lie in."""
     half = F.radians(F.col("pixscale_arcsec") * F.lit(FRAME_SIDE_PX / 2 / 3600))
     ra, dec = F.radians("ra_deg"), F.radians("dec_deg")
 
@@ -62,12 +61,22 @@ def p1_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
         lat = F.atan2(F.sin(dec) + sy * half * F.cos(dec), F.sqrt(half * half + down * down))
         return F.array(F.degrees(ra + F.atan2(sx * half, down)), F.degrees(lat))
 
-    ok = (F.col("exposure") == 1) & (F.abs("dec_deg") <= 90.0) & (F.abs("ra_deg") < float("inf"))
+    ok = of & (F.abs("dec_deg") <= 90.0) & (F.abs("ra_deg") < float("inf"))
     rings = frames.filter(ok).select(F.col("frame_id").alias("region_id"), F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1)).alias("ring")).distinct()
     at = near.sky_plane(frames, "frame_id", "ra_deg", "dec_deg")
     return near.regions_of(at, near.sky_rings(rings)).select(F.col("id").alias("frame_id"), "region_id", "on_boundary")
 
 
+def p1_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames whose centre lies in the square footprint of any frame with a valid position."""
+    return _in_footprints(table(spark, sf_dir, "frames"), F.lit(True))
+
+
+def p1_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of ``p1_footprints`` whose regions are first exposures."""
+    return _in_footprints(table(spark, sf_dir, "frames"), F.col("exposure") == 1)
+
+
 P1_REGIONS_SQL = """
 WITH f AS (SELECT DISTINCT frame_id, exposure, radians(pixscale_arcsec * 1024 / 3600) AS h, radians(ra_deg) AS lon, radians(dec_deg) AS lat
            FROM frames WHERE isfinite(ra_deg) AND isfinite(dec_deg) AND abs(dec_deg) <= 90),
@@ -83,6 +92,21 @@ SELECT frame_id, region_id, false AS on_boundary FROM t WHERE c > 0 AND abs(xi /
 """
 
 
+P1_FOOTPRINTS_SQL = """
+WITH f AS (SELECT DISTINCT frame_id, radians(pixscale_arcsec * 1024 / 3600) AS h, radians(ra_deg) AS lon, radians(dec_deg) AS lat
+           FROM frames WHERE isfinite(ra_deg) AND isfinite(dec_deg) AND abs(dec_deg) <= 90),
+v AS (SELECT *, cos(lat) * cos(lon) AS x, cos(lat) * sin(lon) AS y, sin(lat) AS z FROM f),
+b AS (SELECT *, CAST(floor(x / 1e-3) AS BIGINT) AS cx, CAST(floor(y / 1e-3) AS BIGINT) AS cy, CAST(floor(z / 1e-3) AS BIGINT) AS cz FROM v),
+r1 AS (SELECT *, unnest([-1, 0, 1]) AS ox FROM b WHERE h IS NOT NULL),
+r2 AS (SELECT *, unnest([-1, 0, 1]) AS oy FROM r1),
+r AS (SELECT *, unnest([-1, 0, 1]) AS oz FROM r2),
+t AS (SELECT p.frame_id, r.frame_id AS region_id, r.h, sin(r.lat) * sin(p.lat) + cos(r.lat) * cos(p.lat) * cos(p.lon - r.lon) AS c,
+        cos(p.lat) * sin(p.lon - r.lon) AS xi, cos(r.lat) * sin(p.lat) - sin(r.lat) * cos(p.lat) * cos(p.lon - r.lon) AS eta
+      FROM b p JOIN r ON p.cx = r.cx + r.ox AND p.cy = r.cy + r.oy AND p.cz = r.cz + r.oz)
+SELECT frame_id, region_id, false AS on_boundary FROM t WHERE c > 0 AND abs(xi / c) <= h AND abs(eta / c) <= h
+"""
+
+
 def _plan_and_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     def side(name: str, seen: str, size: str) -> DataFrame:
         return table(spark, sf_dir, name).select(
@@ -221,7 +245,7 @@ SELECT reg_id, field_name, 'spike' FROM c JOIN m USING (group_key, field_name) W
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p1_found": p1_found, "p1_regions": p1_regions, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_rows": p3_rows,
+    "p1_found": p1_found, "p1_footprints": p1_footprints, "p1_regions": p1_regions, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_rows": p3_rows,
     "p3_files": p3_files, "p4_found": p4_found, "p4_log": p4_log, "p4_table": p4_table, "p5_found": p5_found, "p5_scores": p5_scores,
 }
-SQL: dict[str, str] = {"p1_found": P1_SQL, "p1_regions": P1_REGIONS_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_found": P3_SQL, "p3_rows": P3_ROWS_SQL, "p5_found": P5_SQL}
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p1_footprints": P1_FOOTPRINTS_SQL, "p1_regions": P1_REGIONS_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_found": P3_SQL, "p3_rows": P3_ROWS_SQL, "p5_found": P5_SQL}
