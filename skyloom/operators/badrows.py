@@ -18,14 +18,18 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.session import written
+
 _QUOTED = re.compile(r'"([^"]*(?:""[^"]*)*)"')
 _BARE_LINE, _BARE = re.compile(r'[^",\n]*'), re.compile(r'[^",]*')
 _ANCHOR = re.compile(r'\n(?=[^\s",][^",\n]*,)')
+_START = re.compile(r'[^\s",][^",\n]*,')
 _NUMBER = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
 _FILTER = re.compile(r"F[0-9]{3}(?:W2|W|M|N)", re.IGNORECASE)
 
@@ -199,53 +203,67 @@ def parsed_files(lines: DataFrame, file: str, line_no: str, text: str, block_lin
 
     A record may run over several lines, and a broken quote may swallow its
     successors: parsing resumes at the next validated record start. Files are split
-    into blocks of ``block_lines`` lines, each with the first ``look_ahead`` lines of
-    the next one, so that a file with a third of all lines is many groups. A block
-    takes the records that start in it, from its first validated anchor on; the one
-    before it reads up to there. A record of more than ``look_ahead`` lines across a
-    block's end is reported as unclosed. Null lines count as empty; lines repeated
+    into blocks of ``block_lines`` line numbers. A block's first validated anchor ends the
+    segment before it and begins its own, so that every line is in one segment and a file
+    with a third of all lines is many groups; a block without an anchor stays with the segment
+    before it, so a file damaged throughout is one group. A segment sees the ``look_ahead`` lines (counted, whatever their numbers) after its
+    end: an anchor found to lie inside a record that begins before it is given up, and the segments
+    are read again as one. A record that runs on for more than ``look_ahead`` lines behind such an
+    anchor is reported as unclosed. Null lines count as empty; lines repeated
     under one number count once (the smallest).
     """
 
-    def parse(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["n", "line"]).drop_duplicates("n")
-        block = int(key[1])
-        text = "\n".join(part["line"])
-        starts, at = [], 0
-        for x in part["line"]:
-            starts.append(at)
+    def first_anchor(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        lines_ = part.sort_values("n")["line"].tolist()
+        p, at, found = Records("\n".join(lines_), columns), 0, None
+        for i, x in enumerate(lines_):
+            t = p._trial(at) if _START.match(p.text, at) else None
+            if t is not None and len(t.fields) == columns:
+                found = i
+                break
             at += len(x) + 1
-        nums = part["n"].to_numpy()
-        own = int((nums < (block + 1) * block_lines).sum())
-        p = Records(text, columns)
-
-        def first_anchor(k: int) -> int:
-            """First line from k on that begins a whole record, at the block's own start or at its successor's."""
-            for i in range(k, len(starts)):
-                t = p._trial(starts[i])
-                if t is not None and len(t.fields) == columns and (starts[i] == 0 or _ANCHOR.match(text, starts[i] - 1)):
-                    return i
-            return len(starts)
-
-        begin = 0 if block == 0 else first_anchor(0)
-        until = starts[own] if own < len(starts) else len(text) + 1
-        if own < len(starts):
-            k = first_anchor(own)
-            until = starts[k] if k < len(starts) else until
-        out = []
-        at = starts[begin] if begin < len(starts) else until
+        return pd.DataFrame({"file": [key[0]], "block": [key[1]], "size": [len(lines_)], "anchor": pd.array([found], "Int64")})
+
+    def parse(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("i")
+        lines_, nums, own = part["line"].tolist(), part["n"].to_numpy(), int(part["own"].sum())
+        starts = np.r_[0, np.cumsum([len(x) + 1 for x in lines_])]
+        text = "\n".join(lines_)
+        until = int(starts[own])
+        line_of = lambda at: int(starts[:-1].searchsorted(at, "right")) - 1
+        p, at, out = Records(text, columns), 0, []
         while at < until:
             r = p.record(at)
-            r.end = min(r.end, max(until - 1, at))
-            first = max(i for i, s in enumerate(starts) if s <= at) if len(starts) < 64 else int(pd.Series(starts).searchsorted(at, "right")) - 1
-            out.append((key[0], int(nums[first]), text.count("\n", at, r.end) + 1, *typed(r)))
+            if r.error:
+                r.end = min(r.end, until - 1)
+            first, last = line_of(at), line_of(r.end)
+            out.append((key[0], int(nums[first]), text.count("\n", at, r.end) + 1, *typed(r), key[1] + first, key[1] + last, last >= own))
             at = r.end + 1
-        names = ["file_name", "first_line", "n_lines", *[f.name for f in _TYPED]]
+        names = ["file_name", "first_line", "n_lines", *[f.name for f in _TYPED], "i0", "i1", "over"]
         return pd.DataFrame(out, columns=names).astype({"error_at": "Int32"})
 
     n = F.col(line_no).cast("bigint")
     rows = lines.select(F.col(file).cast("string").alias("file"), n.alias("n"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("line")).filter(F.col("n").isNotNull())
-    block = F.floor(F.col("n") / block_lines).cast("bigint")
-    own = rows.withColumn("block", block)
-    ahead = own.filter(F.col("n") - F.col("block") * block_lines < look_ahead).withColumn("block", F.col("block") - 1).filter("block >= 0")
-    return own.unionByName(ahead).groupBy("file", "block").applyInPandas(parse, f"file_name string, first_line bigint, n_lines int, {TYPED}")
+    rows = rows.groupBy("file", "n").agg(F.min("line").alias("line")).withColumn("block", F.floor(F.col("n") / block_lines).cast("bigint"))
+    rows = written(rows.withColumn("rank", F.row_number().over(Window.partitionBy("file", "block").orderBy("n")) - 1), "lines")
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("file", "block").applyInPandas(first_anchor, "file string, block bigint, size bigint, anchor bigint")
+    blocks = blocks.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    blocks = written(blocks.select("file", "block", "offset", F.when(F.col("offset") == 0, F.lit(0)).otherwise(F.col("offset") + F.col("anchor")).alias("start")), "blocks")
+    while True:
+        near = Window.partitionBy("file").orderBy("block").rowsBetween(-look_ahead, 0)
+        b = blocks.withColumn("prev", F.last("start", ignorenulls=True).over(before))
+        ends = F.collect_list(F.when(F.col("start").isNotNull() & F.col("prev").isNotNull(), F.struct(F.col("prev").alias("seg"), F.col("start").alias("end")))).over(near)
+        b = b.withColumn("ends", F.filter(ends, lambda e: e["end"] + look_ahead > F.col("offset")))
+        b = b.select(F.col("file").alias("f"), F.col("block").alias("k"), "offset", "start", "prev", "ends")
+        at = rows.join(b, F.col("file").eqNullSafe(F.col("f")) & (F.col("block") == F.col("k"))).withColumn("i", F.col("offset") + F.col("rank"))
+        mine = F.struct(F.when(F.col("i") >= F.col("start"), F.col("start")).otherwise(F.col("prev")).alias("seg"), F.lit(True).alias("own"))
+        seen = F.transform(F.filter("ends", lambda e: (e["end"] <= F.col("i")) & (F.col("i") < e["end"] + look_ahead)), lambda e: F.struct(e["seg"].alias("seg"), F.lit(False).alias("own")))
+        at = at.select("file", "n", "line", "i", F.explode(F.concat(F.array(mine), seen)).alias("s")).select("file", "n", "line", "i", "s.seg", "s.own")
+        out = written(at.groupBy("file", "seg").applyInPandas(parse, f"file_name string, first_line bigint, n_lines int, {TYPED}, i0 bigint, i1 bigint, over boolean"), "records")
+        over = out.filter("over").select("file_name", "i0", "i1")
+        if over.isEmpty():
+            return out.drop("i0", "i1", "over")
+        inside = blocks.join(over, F.col("file").eqNullSafe(F.col("file_name")) & (F.col("start") > F.col("i0")) & (F.col("start") <= F.col("i1")), "left_semi").select(F.col("file").alias("f"), F.col("block").alias("k"), F.lit(True).alias("gone"))
+        on = F.col("file").eqNullSafe(F.col("f")) & (F.col("block") == F.col("k"))
+        blocks = written(blocks.join(inside, on, "left").select("file", "block", "offset", F.when(F.col("gone").isNull(), F.col("start")).alias("start")), "blocks")
