@@ -71,6 +71,60 @@ def cubic_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.cubic_shift(im, shifts)
 
 
+# -- the same over whole mosaics: pixels may be negative ----------------------------------------------------
+
+
+def whole_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every star with a finite position on the cells of its mosaic, counted from the mosaic's smallest cell (``y0``, ``x0``)."""
+    s = stars(spark, sf_dir, "flux").withColumn("flux", robust.finite(F.col("flux"))).filter("flux IS NOT NULL")
+    px = s.groupBy(F.col("mosaic_key").alias("grp"), F.floor(F.col("y") / CELL).cast("bigint").alias("y"), F.floor(F.col("x") / CELL).cast("bigint").alias("x")).agg(F.max("flux").alias("v"))
+    ends = px.groupBy("grp").agg(F.min("y").alias("y0"), F.min("x").alias("x0"), F.max("y").alias("y1"), F.max("x").alias("x1"))
+    rows, cols = F.col("y1") - F.col("y0") + 1, F.col("x1") - F.col("x0") + 1
+    return px.join(ends, "grp").select("grp", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "v", rows.alias("rows"), cols.alias("cols"), "y0", "x0")
+
+
+def _mosaic_cells(spark: SparkSession, sf_dir: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``f`` of the whole images, its cells counted from the mosaic's own zero again."""
+    im = whole_image(spark, sf_dir)
+    at = im.select("grp", "y0", "x0").distinct()
+    return f(im.drop("y0", "x0")).join(at, "grp").withColumn("y", F.col("y") + F.col("y0")).withColumn("x", F.col("x") + F.col("x0")).drop("y0", "x0")
+
+
+_WHOLE = f"""WITH {STARS_SQL}, im AS (SELECT mosaic_key AS grp, CAST(floor(y / 16.0::double) AS BIGINT) AS y, CAST(floor(x / 16.0::double) AS BIGINT) AS x, max(flux) AS v
+  FROM stars WHERE isfinite(flux) GROUP BY ALL)
+"""
+
+
+@query(_WHOLE + """, k AS (SELECT grp, y - min(y) OVER w AS y, x - min(x) OVER w AS x, v, max(y) OVER w - min(y) OVER w + 1 AS rows, max(x) OVER w - min(x) OVER w + 1 AS cols FROM im WINDOW w AS (PARTITION BY grp))
+SELECT grp, y // 4 AS r, x // 4 AS c, round(avg(v), 9) AS v, count(v) AS n FROM k WHERE y < rows // 4 * 4 AND x < cols // 4 * 4 GROUP BY ALL""")
+def block_reduce_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks are counted from the mosaic's smallest cell."""
+    return images.block_mean(whole_image(spark, sf_dir), 4).withColumn("v", F.round("v", 9))
+
+
+@query(_WHOLE + """, t AS (SELECT grp, y - j AS y, x - i AS x, v * (1 - abs(j - 0.25)) * (1 - abs(i - 0.375)) AS wv FROM (SELECT *, unnest([0, 1]) AS j FROM (SELECT *, unnest([0, 1]) AS i FROM im)))
+SELECT grp, y, x, round(sum(wv), 9) AS v FROM t GROUP BY ALL HAVING count(*) = 4""")
+def bilinear_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mosaic_cells(spark, sf_dir, lambda im: images.bilinear(im, 0.25, 0.375).withColumn("v", F.round("v", 9)))
+
+
+@query(_WHOLE + """, h AS (SELECT grp, quantile_cont(v, 0.99) AS lim FROM im GROUP BY grp),
+o AS (SELECT grp, y + j AS y, x + i AS x, v FROM (SELECT *, unnest(range(-5, 6)) AS j FROM (SELECT *, unnest(range(-5, 6)) AS i FROM im))),
+m AS (SELECT grp, y, x, max(v) AS m FROM o GROUP BY ALL)
+SELECT grp, y, x, v, CAST(rank AS INTEGER) AS rank FROM (SELECT im.grp, im.y, im.x, im.v, row_number() OVER (PARTITION BY im.grp ORDER BY im.v DESC, im.y, im.x) AS rank
+  FROM im JOIN h USING (grp) JOIN m ON im.grp = m.grp AND im.y = m.y AND im.x = m.x WHERE im.v >= lim AND im.v >= m.m) WHERE rank <= 30""")
+def local_max_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mosaic_cells(spark, sf_dir, images.local_peaks)
+
+
+@query()
+def cubic_shift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def shifted(im: DataFrame) -> DataFrame:
+        return images.cubic_shift(im, im.groupBy("grp").agg(F.lit(0.37).alias("dx"), F.lit(-0.61).alias("dy"), F.median("v").alias("background")))
+
+    return _mosaic_cells(spark, sf_dir, shifted)
+
+
 @query(f"""WITH {STARS_SQL}, c AS (SELECT CAST(floor(x / 256) AS BIGINT) AS cx, CAST(floor(y / 256) AS BIGINT) AS cy, filter_name, flux FROM stars WHERE isfinite(flux)),
 p AS (SELECT cx, cy, median(flux) FILTER (filter_name = 'F444W') AS r, median(flux) FILTER (filter_name = 'F200W') AS g, median(flux) FILTER (filter_name = 'F090W') AS b FROM c GROUP BY ALL)
 SELECT cx, cy, r IS NOT NULL AND g IS NOT NULL AND b IS NOT NULL AND r <> 0 AND g <> 0 AND b <> 0 AS whole,
