@@ -175,13 +175,39 @@ def consistent(long: DataFrame, changes: DataFrame) -> DataFrame:
 
     A field keeps the name it had before its renames. ``number`` holds
     integers, numbers and strings that read as a number, ``text`` the rest, so that
-    a field has one type over all files. Repeated rows come out once.
+    a number is found under any spelling; ``united`` gives a field one type. Repeated rows come out once.
     """
+    rows = _named(long, changes)
+    number = F.when(~F.col("same").startswith("b:") & ~F.col("same").startswith("s:"), F.col("same").try_cast("double"))
+    return rows.select("series", "file", "produced", "grp", "id", "field_name", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
+
+
+def united(long: DataFrame, changes: DataFrame) -> DataFrame:
+    """Every value under its field's first name, cast to the field's one type over all files of its series.
+
+    ``(series, file, produced, grp, id, field_name, type, integer, number, boolean, text, spelling)``:
+    the types are folded through ``promoted`` over the files; the column of ``type`` holds
+    the value, cast from its spelling. An integer field with a value beyond 64 bits is a string.
+    Repeated rows come out once.
+    """
+    rows = written(_named(long, changes), "named")
+    beyond = F.bool_or((F.col("type") == INTEGER) & F.col("value").try_cast("bigint").isNull())
+    folded = rows.groupBy("series", "field_name").agg(promoted(F.bit_or("type")).alias("t"), beyond.alias("beyond"))
+    folded = folded.select("series", "field_name", F.when((F.col("t") == INTEGER) & F.col("beyond"), F.lit(STRING)).otherwise(F.col("t")).alias("t"))
+    of = lambda t, kind: F.when(F.col("t") == t, F.col("value").try_cast(kind))
+    name = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])
+    return rows.join(folded, ["series", "field_name"]).select(
+        "series", "file", "produced", "grp", "id", "field_name", name[F.col("t")].alias("type"), of(INTEGER, "bigint").alias("integer"), of(NUMBER, "double").alias("number"),
+        of(BOOLEAN, "boolean").alias("boolean"), of(STRING, "string").alias("text"), F.col("value").alias("spelling"),
+    )
+
+
+def _named(long: DataFrame, changes: DataFrame) -> DataFrame:
+    """The values there are, each row once, with ``field_name``: the name the field had before its renames."""
     moves = changes.filter("change_kind = 'renamed'")
     hops = moves.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("produced", "file", "old_name", "field_name"))).alias("hops"))
     rows = long.filter(F.col("value").isNotNull()).distinct().join(hops, "series", "left")
     made = F.struct("produced", "file")
     past = F.filter(F.coalesce("hops", F.array().cast("array<struct<produced:timestamp,file:string,old_name:string,field_name:string>>")), lambda h: F.struct(h["produced"].alias("produced"), h["file"].alias("file")) <= made)
     back = F.aggregate(F.reverse(past), F.col("field"), lambda acc, h: F.when(h["field_name"] == acc, h["old_name"]).otherwise(acc))
-    number = F.when(~F.col("same").startswith("b:") & ~F.col("same").startswith("s:"), F.col("same").try_cast("double"))
-    return rows.select("series", "file", "produced", "grp", "id", back.alias("field_name"), number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
+    return rows.withColumn("field_name", back)

@@ -208,6 +208,12 @@ def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.consistent(long, drift.changes_of(long)).select(F.col("id").alias("record_id"), F.col("series").alias("series_key"), F.col("file").alias("file_name"), F.col("grp").alias("group_key"), "field_name", "number", "text")
 
 
+def p4_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All gauge values of all files under consistent names, each field cast to its one type over the files of its series."""
+    long = _gauges(spark, sf_dir)
+    return drift.united(long, drift.changes_of(long)).select(F.col("id").alias("record_id"), F.col("series").alias("series_key"), F.col("file").alias("file_name"), F.col("grp").alias("group_key"), "field_name", "type", "integer", "number", "boolean", "text", "spelling")
+
+
 def _registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "frame_registrations").filter(~F.coalesce("is_reference", F.lit(False)))
     rms, peak, dx, n, top = (F.col(c) for c in ("residual_rms_px", "residual_max_px", "dx", "n_matched", "n_detected"))
@@ -246,6 +252,6 @@ SELECT reg_id, field_name, 'spike' FROM c JOIN m USING (group_key, field_name) W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_footprints": p1_footprints, "p1_regions": p1_regions, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_rows": p3_rows,
-    "p3_files": p3_files, "p4_found": p4_found, "p4_log": p4_log, "p4_table": p4_table, "p5_found": p5_found, "p5_scores": p5_scores,
+    "p3_files": p3_files, "p4_found": p4_found, "p4_log": p4_log, "p4_table": p4_table, "p4_union": p4_union, "p5_found": p5_found, "p5_scores": p5_scores,
 }
 SQL: dict[str, str] = {"p1_found": P1_SQL, "p1_footprints": P1_FOOTPRINTS_SQL, "p1_regions": P1_REGIONS_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_found": P3_SQL, "p3_rows": P3_ROWS_SQL, "p5_found": P5_SQL}
