@@ -1,10 +1,32 @@
-"""Isolation forests of many sources at once, in numpy: all trees of a block grow level by level."""
+"""Isolation forests of many sources at once, in numpy: all trees of a block grow level by level.
+
+Every random choice is a hash of the forest's seed, the tree and the node, and every subsample
+a hash order of the rows' own keys. A forest thus depends on its source's rows only, not on the
+block, task or order in which it is grown.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-TREES, SAMPLE, SEED = 32, 64, 7
+TREES, SAMPLE = 32, 64
+
+
+def mixed(*keys: np.ndarray | int) -> np.ndarray:
+    """64-bit hash of integer keys, element by element (splitmix64 after each key)."""
+    h = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        for k in keys:
+            h = h ^ np.asarray(k).astype(np.int64).view(np.uint64)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = (h ^ (h >> np.uint64(31))) + np.uint64(0x9E3779B97F4A7C15)
+    return h
+
+
+def fraction(h: np.ndarray) -> np.ndarray:
+    """A hash as a number from 0 to under 1."""
+    return (h >> np.uint64(11)).astype(float) * 2.0**-53
 
 
 def _mean_path(n: np.ndarray) -> np.ndarray:
@@ -13,70 +35,92 @@ def _mean_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / n, np.where(n == 2, 1.0, 0.0))
 
 
-def scores(group: np.ndarray, features: np.ndarray, fit: np.ndarray, trees: int = TREES, sample: int = SAMPLE) -> np.ndarray:
+def scores(group: np.ndarray, features: np.ndarray, fit: np.ndarray, key: np.ndarray | None = None, seed: np.ndarray | None = None, trees: int = TREES, sample: int = SAMPLE) -> np.ndarray:
     """Isolation score (near 1: isolated early) of each row under the forest of its group.
 
-    ``group`` numbers the rows' sources, sorted, from 0; ``fit`` marks the rows a forest may be
-    grown from. Each tree is grown from at most ``sample`` of them, the method's own
-    subsample; every row is scored. Rows of a group with nothing to grow from score 0.5.
+    ``group`` numbers the rows' sources from 0; ``fit`` marks the rows that its forest is
+    grown from, ``key`` identifies a row and ``seed`` a group. Each tree takes at most
+    ``sample`` of the fit rows, the method's own subsample; every row is scored. Rows of a
+    group with nothing to grow from score 0.5.
     """
     n, width = features.shape
-    out = np.full(n, 0.5)
     rows = np.flatnonzero(fit)
     if not len(rows):
-        return out
-    rng = np.random.default_rng(SEED)
+        return np.full(n, 0.5)
     n_groups = int(group.max()) + 1
-    # a random subsample for each (group, tree)
-    g = np.tile(group[rows], trees) * trees + np.repeat(np.arange(trees), len(rows))
-    order = np.lexsort((rng.random(len(g)), g))
-    g_sorted = g[order]
-    first = np.r_[0, np.flatnonzero(np.diff(g_sorted)) + 1]
-    rank = np.arange(len(g)) - np.repeat(first, np.diff(np.r_[first, len(g)]))
-    chosen = order[rank < sample]
-    tree, point = g[chosen], rows[chosen % len(rows)]
-    size = np.bincount(tree, minlength=n_groups * trees)
+    key = np.arange(n) if key is None else key
+    seed = np.arange(n_groups) if seed is None else seed
+    # a group's fit rows in the order of their hashes; a tree takes a stretch of it from a place of its own
+    rows = rows[np.lexsort((mixed(key[rows], seed[group[rows]]), group[rows]))]
+    many = np.bincount(group[rows], minlength=n_groups)
+    first = np.cumsum(many) - many
+    of, number = np.repeat(np.arange(n_groups), trees), np.tile(np.arange(trees), n_groups)
+    size = np.minimum(many, sample)[of]
+    tree = np.repeat(np.arange(len(of)), size)
+    place = np.arange(len(tree)) - np.repeat(np.cumsum(size) - size, size)
+    begin = (mixed(seed[of], number, 1) % np.maximum(many[of], 1).astype(np.uint64)).astype(np.int64)
+    point = rows[first[of[tree]] + (begin[tree] + place) % many[of[tree]]]
     depth = int(np.ceil(np.log2(max(2, size.max()))))
 
-    node = np.zeros(len(tree), np.int64)
-    at = np.zeros((trees, n), np.int64)
-    path = np.zeros((trees, n))
-    open_ = np.ones((trees, n), bool)
-    base = group * trees
+    # node k of a level goes on as 2k and 2k + 1; a leaf passes everything to 2k, so the path is read at the last level
+    node, levels, length = np.zeros(len(tree), np.int64), [], np.zeros((len(of), 1 << depth))
     for d in range(depth + 1):
         wide = 1 << d
-        key = tree * wide + node
-        order = np.argsort(key, kind="stable")
-        tree, point, node, key = tree[order], point[order], node[order], key[order]
-        start = np.r_[0, np.flatnonzero(np.diff(key)) + 1]
-        count = np.diff(np.r_[start, len(key)])
-        x = features[point]
-        lo, hi = np.minimum.reduceat(x, start), np.maximum.reduceat(x, start)
-        spread = hi > lo
-        pick = np.where(spread, rng.random(spread.shape), -1.0)
-        f = pick.argmax(1)
-        k = np.arange(len(start))
-        split = spread.any(1) & (d < depth)
-        cut = lo[k, f] + rng.random(len(start)) * (hi[k, f] - lo[k, f])
-        total = n_groups * trees * wide
-        c_of, f_of, n_of = np.full(total, np.nan), np.zeros(total, np.int8), np.zeros(total, np.int64)
-        at_key = key[start]
-        c_of[at_key], f_of[at_key], n_of[at_key] = np.where(split, cut, np.nan), f, count
-        for t in range(trees):  # rows go down; a row in a leaf takes its depth and the leaf's own mean path
-            q = (base + t) * wide + at[t]
-            c = c_of[q]
-            end = open_[t] & np.isnan(c)
-            path[t, end] = d + _mean_path(n_of[q[end]])
-            open_[t] &= ~end
-            v = features[np.arange(n), f_of[q]]
-            at[t] = 2 * at[t] + (v > c)
-        sample_split = np.repeat(split, count)
-        v = x[np.arange(len(x)), np.repeat(f, count)]
-        node = 2 * node + (v > np.repeat(cut, count))
-        tree, point, node = tree[sample_split], point[sample_split], node[sample_split]
-        if not len(tree):
-            for t in range(trees):
-                path[t, open_[t]] = d + 1
-            break
-    norm = _mean_path(size.reshape(n_groups, trees).max(1))[group]
-    return np.where(norm > 0, 2.0 ** (-path.mean(0) / np.maximum(norm, 1e-9)), out)
+        at = tree * wide + node
+        order = np.argsort(at, kind="stable")
+        tree, point, node, at = tree[order], point[order], node[order], at[order]
+        cuts, by = np.full(len(of) * wide, np.inf), np.zeros(len(of) * wide, np.int64)
+        if len(tree):
+            start = np.r_[0, np.flatnonzero(np.diff(at)) + 1]
+            count = np.diff(np.r_[start, len(at)])
+            x = features[point]
+            lo, hi = np.minimum.reduceat(x, start), np.maximum.reduceat(x, start)
+            t, k, r = tree[start], node[start], np.arange(len(start))
+            draw = [fraction(mixed(seed[of[t]], number[t], wide + k, 2 + c)) for c in range(width + 1)]
+            f = np.where(hi > lo, np.column_stack(draw[:width]), -1.0).argmax(1)
+            split = (hi > lo).any(1) & (d < depth)
+            cut = lo[r, f] + draw[width] * (hi[r, f] - lo[r, f])
+            cut = np.minimum(cut, np.nextafter(hi[r, f], -np.inf))
+            cuts[at[start[split]]], by[at[start[split]]] = cut[split], f[split]
+            length[t[~split], k[~split] << (depth - d)] = d + _mean_path(count[~split])
+            right = x[np.arange(len(x)), np.repeat(f, count)] > np.repeat(cut, count)
+            on = np.repeat(split, count)
+            tree, point, node = tree[on], point[on], (2 * node + right)[on]
+        levels.append((cuts, by))
+
+    flat, row, path = features.ravel(), np.arange(n) * width, np.zeros(n)
+    for i in range(trees):
+        own, at = group * trees + i, np.zeros(n, np.int64)
+        for d in range(depth):
+            cuts, by = levels[d]
+            q = (own << d) + at
+            at = 2 * at + (flat[row + by[q]] > cuts[q])
+        path += length[own, at]
+    norm = _mean_path(np.minimum(many, sample))[group]
+    return np.where(norm > 0, 2.0 ** (-path / trees / np.maximum(norm, 1e-9)), 0.5)
+
+
+def apart(score: np.ndarray, group: np.ndarray, fit: np.ndarray) -> np.ndarray:
+    """How far each row's score is above the median score of its group's fit rows, in scaled median absolute deviations."""
+
+    def middle(v: np.ndarray) -> np.ndarray:
+        order = np.lexsort((v, g))
+        return v[order][first + (many - 1) // 2]
+
+    rows = np.flatnonzero(fit)
+    n_groups = int(group.max()) + 1 if len(group) else 0
+    out = np.zeros(len(score))
+    many = np.bincount(group[rows], minlength=n_groups)
+    there = many > 0
+    number = np.cumsum(there) - 1
+    g, many = number[group[rows]], many[there]
+    if not len(rows):
+        return out
+    first = np.cumsum(many) - many
+    mid = middle(score[rows])
+    mad = 1.4826 * middle(np.abs(score[rows] - mid[g]))
+    k = there[group]
+    own = number[group[k]]
+    off = score[k] - mid[own]
+    out[k] = np.where(np.abs(off) < 1e-12, 0.0, off / np.maximum(mad[own], 1e-12))
+    return out
