@@ -164,8 +164,9 @@ def p3_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files read again as physical lines, without knowing where records start."""
     lines = table(spark, sf_dir, "obs_lines").dropDuplicates(["line_id"])
     lines = lines.select("file_name", "line_no", F.posexplode(F.split("raw_line", "\n")))
-    lines = lines.select("file_name", (F.col("line_no") * 1000 + F.col("pos")).alias("line_no"), F.col("col").alias("line"))
-    return badrows.parsed_files(lines, "file_name", "line_no", "line", block_lines=1_000_000).select("file_name", "first_line", "n_lines", "obs_id", "reason")
+    found = badrows.parsed_files(lines, "file_name", "line_no", "col", block_lines=1_000, pos="pos")
+    label = (F.col("first_line") * 1000 + F.col("first_pos")).alias("first_line")  # of a line beyond the thousandth of its record not unique: line_no and pos are
+    return found.select("file_name", label, F.col("first_line").alias("line_no"), F.col("first_pos").alias("pos"), "n_lines", "obs_id", "reason")
 
 
 _P3_CTE = r"""
@@ -188,6 +189,11 @@ z AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN NOT three THEN 'columns' WH
 P3_SQL = _P3_CTE + "SELECT line_id, reason FROM z WHERE reason IS NOT NULL"
 P3_ROWS_SQL = _P3_CTE + r"""SELECT line_id, trim(obs_id, E' \t\n\r') AS obs_id, regexp_replace(upper(filters), '\s', '', 'g') AS filters, CAST(len(nums) / 2 AS INTEGER) AS n_corners FROM z WHERE reason IS NULL"""
 
+# known record starts (a row of the table is one record) against what is found in the files' lines
+P3_FILES_SQL = _P3_CTE + r"""SELECT DISTINCT o.file_name, CAST(o.line_no AS BIGINT) * 1000 AS first_line, CAST(o.line_no AS BIGINT) AS line_no, CAST(0 AS BIGINT) AS pos,
+  CAST(length(coalesce(o.raw_line, '')) - length(replace(coalesce(o.raw_line, ''), chr(10), '')) + 1 AS INTEGER) AS n_lines, CASE WHEN reason IN ('quoting', 'columns', 'obs_id') THEN NULL ELSE trim(z.obs_id, E' \t\n\r') END AS obs_id, z.reason
+FROM obs_lines o JOIN z USING (line_id)"""
+
 
 def _gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(drift.fields_of(table(spark, sf_dir, "gauge_records"), "series_key", "file_name", "produced_at", "group_key", "record_id", "payload"), "fields")
@@ -254,4 +260,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_footprints": p1_footprints, "p1_regions": p1_regions, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_rows": p3_rows,
     "p3_files": p3_files, "p4_found": p4_found, "p4_log": p4_log, "p4_table": p4_table, "p4_union": p4_union, "p5_found": p5_found, "p5_scores": p5_scores,
 }
-SQL: dict[str, str] = {"p1_found": P1_SQL, "p1_footprints": P1_FOOTPRINTS_SQL, "p1_regions": P1_REGIONS_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_found": P3_SQL, "p3_rows": P3_ROWS_SQL, "p5_found": P5_SQL}
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p1_footprints": P1_FOOTPRINTS_SQL, "p1_regions": P1_REGIONS_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_found": P3_SQL, "p3_rows": P3_ROWS_SQL, "p3_files": P3_FILES_SQL, "p5_found": P5_SQL}

@@ -57,3 +57,36 @@ def test_blocks_do_not_change_records(spark, block):
 
 def test_a_file_without_any_anchor(spark):
     assert cut(spark, ["a,b"] * 12, block_lines=4) == [(n, 1, "columns") for n in range(12)]
+
+
+def placed(spark, raw, tmp_path):
+    rows = [(i, "f.csv", i, x) for i, x in enumerate(raw)]
+    spark.createDataFrame(rows, "line_id long, file_name string, line_no int, raw_line string").write.parquet(str(tmp_path / "obs_lines.parquet"))
+    got = entry.queries()["p3_files"](spark, str(tmp_path)).collect()
+    return sorted((r["line_no"], r["pos"], r["n_lines"], r["reason"]) for r in got)
+
+
+def test_records_of_more_than_a_thousand_lines(spark, tmp_path):
+    corners = "\n".join("3 4" for _ in range(1_500))
+    raw = [whole(0), f'o1,F200W,"POLYGON 1 2 {corners}"', whole(2), f'o3,F200W,"POLYGON 1 2 {corners}"', whole(4)]
+    assert placed(spark, raw, tmp_path) == [(0, 0, 1, None), (1, 0, 1_500, None), (2, 0, 1, None), (3, 0, 1_500, None), (4, 0, 1, None)]
+
+
+def test_a_long_record_over_the_end_of_a_block(spark, tmp_path):
+    # the record at 998 runs on for 700 lines into the next block, whose lines look like record starts
+    inside = "\n".join(whole(90_000 + k) for k in range(700))
+    raw = [whole(i) for i in range(998)] + [f'o998,F200W,"{inside}"'] + [whole(i) for i in range(999, 2_100)]
+    got = placed(spark, raw, tmp_path)
+    assert got == [(i, 0, 700 if i == 998 else 1, "s_region" if i == 998 else None) for i in range(2_100)]
+
+
+@pytest.mark.parametrize("block", [4, 50])
+def test_a_quote_never_closed(spark, block):
+    lines = [whole(i) for i in range(30)]
+    lines[7] = f'o7,F200W,"{RING}'
+    assert cut(spark, lines, block_lines=block, look_ahead=3, longest=10) == [(n, 1, "quoting" if n == 7 else None) for n in range(30)]
+
+
+def test_many_broken_quotes_are_read_in_one_pass():
+    p = badrows.Records("\n".join(f'o{i},"F200W' for i in range(20_000)), 3)
+    assert sum(1 for _ in p.records()) == 1 and p.found == len(p.text)
