@@ -189,10 +189,16 @@ z AS (SELECT *, CASE WHEN NOT ok THEN 'quoting' WHEN NOT three THEN 'columns' WH
 P3_SQL = _P3_CTE + "SELECT line_id, reason FROM z WHERE reason IS NOT NULL"
 P3_ROWS_SQL = _P3_CTE + r"""SELECT line_id, trim(obs_id, E' \t\n\r') AS obs_id, regexp_replace(upper(filters), '\s', '', 'g') AS filters, CAST(len(nums) / 2 AS INTEGER) AS n_corners FROM z WHERE reason IS NULL"""
 
-# known record starts (a row of the table is one record) against what is found in the files' lines
-P3_FILES_SQL = _P3_CTE + r"""SELECT DISTINCT o.file_name, CAST(o.line_no AS BIGINT) * 1000 AS first_line, CAST(o.line_no AS BIGINT) AS line_no, CAST(0 AS BIGINT) AS pos,
-  CAST(length(coalesce(o.raw_line, '')) - length(replace(coalesce(o.raw_line, ''), chr(10), '')) + 1 AS INTEGER) AS n_lines, CASE WHEN reason IN ('quoting', 'columns', 'obs_id') THEN NULL ELSE trim(z.obs_id, E' \t\n\r') END AS obs_id, z.reason
-FROM obs_lines o JOIN z USING (line_id)"""
+# Known record starts (a row of the table is one record) against what is found in the files' lines. In a file alone,
+# what follows a broken quote up to the next line that starts a whole record belongs to the broken record.
+P3_FILES_SQL = _P3_CTE + r""", o AS (SELECT DISTINCT file_name, CAST(line_no AS BIGINT) AS line_no, length(coalesce(raw_line, '')) - length(replace(coalesce(raw_line, ''), chr(10), '')) + 1 AS n,
+    CASE WHEN reason IN ('quoting', 'columns', 'obs_id') THEN NULL ELSE trim(z.obs_id, E' \t\n\r') END AS obs_id, z.reason,
+    z.three AND regexp_matches(raw_line, '^[^\s",][^",\n]*,') AS is_start FROM obs_lines JOIN z USING (line_id)),
+g AS (SELECT *, sum(CASE WHEN is_start THEN 1 ELSE 0 END) OVER (PARTITION BY file_name ORDER BY line_no) AS grp FROM o),
+b AS (SELECT *, min(line_no) FILTER (reason = 'quoting') OVER (PARTITION BY file_name, grp) AS broken FROM g),
+e AS (SELECT *, sum(n) FILTER (line_no >= broken) OVER (PARTITION BY file_name, grp) AS to_end FROM b)
+SELECT file_name, line_no * 1000 AS first_line, line_no, CAST(0 AS BIGINT) AS pos, CAST(CASE WHEN line_no = broken THEN to_end ELSE n END AS INTEGER) AS n_lines, obs_id, reason
+FROM e WHERE broken IS NULL OR line_no <= broken"""
 
 
 def _gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
