@@ -107,7 +107,7 @@ def headers_of(long: DataFrame) -> DataFrame:
     return fields.groupBy("series", "file").agg(F.max("produced").alias("produced"), F.map_from_entries(F.collect_list(F.struct("field", promoted(F.col("mask")).alias("type")))).alias("header"))
 
 
-def with_previous(files: DataFrame, slab: str = "day") -> DataFrame:
+def with_previous(files: DataFrame, slab: str = "hour") -> DataFrame:
     """Adds ``previous_file`` and ``before`` (its header) in the order (produced, file) of each series.
 
     Ordered within slabs of time; a slab's first file follows the last one of the slab
@@ -173,13 +173,32 @@ def changes_of(long: DataFrame, share: float = 0.5) -> DataFrame:
 def consistent(long: DataFrame, changes: DataFrame) -> DataFrame:
     """Every value under its field's first name in the series: ``(series, file, produced, grp, id, field_name, number, text)``.
 
-    A field keeps the name it had before its renames. ``number`` holds
-    integers, numbers and strings that read as a number, ``text`` the rest, so that
-    a number is found under any spelling; ``united`` gives a field one type. Repeated rows come out once.
+    A field keeps the name it had before its renames, and has one type over all files of its
+    series: it is a number (in ``number``) where some value is a JSON number and every value, string or
+    not, reads as one; else a text (in ``text``, as it was spelled). ``united`` casts
+    by the types alone. Repeated rows come out once.
     """
-    rows = _named(long, changes)
-    number = F.when(~F.col("same").startswith("b:") & ~F.col("same").startswith("s:"), F.col("same").try_cast("double"))
-    return rows.select("series", "file", "produced", "grp", "id", "field_name", number.alias("number"), F.when(number.isNull(), F.col("value")).alias("text"))
+    rows = written(_named(long, changes), "named")
+    reads = ~F.col("same").startswith("b:") & ~F.col("same").startswith("s:")
+    folded = rows.groupBy("series", "field_name").agg((F.bool_and(reads) & F.bool_or(F.col("type").isin(INTEGER, NUMBER))).alias("is_number"))
+    return rows.join(folded, ["series", "field_name"]).select(
+        "series", "file", "produced", "grp", "id", "field_name", F.when(F.col("is_number"), F.col("same").try_cast("double")).alias("number"), F.when(~F.col("is_number"), F.col("value")).alias("text"),
+    )
+
+
+def promotions(long: DataFrame, changes: DataFrame) -> DataFrame:
+    """The union schema: ``(series, field_name, type, seen, n_names, n_files, is_promoted)`` of every field under its first name.
+
+    The types of all files of a series folded through ``promoted``; ``seen`` lists the types that its
+    files have, in order, ``n_names`` the names it goes by. ``is_promoted`` where the union's type is not that of every file.
+    """
+    per_file = _named(long, changes).groupBy("series", "field_name", "file", "field").agg(F.bit_or("type").alias("mask"))
+    folded = per_file.groupBy("series", "field_name").agg(
+        promoted(F.bit_or("mask")).alias("t"), F.array_sort(F.collect_set(promoted(F.col("mask")))).alias("each"), F.count_distinct("field").alias("n_names"), F.count_distinct("file").alias("n_files"),
+    )
+    name = F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv])
+    seen = F.array_join(F.transform("each", lambda t: name[t]), ",")
+    return folded.select("series", "field_name", name[F.col("t")].alias("type"), seen.alias("seen"), "n_names", "n_files", F.exists("each", lambda t: t != F.col("t")).alias("is_promoted"))
 
 
 def united(long: DataFrame, changes: DataFrame) -> DataFrame:
@@ -203,11 +222,16 @@ def united(long: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def _named(long: DataFrame, changes: DataFrame) -> DataFrame:
-    """The values there are, each row once, with ``field_name``: the name the field had before its renames."""
+    """The values there are, each row once, with ``field_name``: the name the field had before its renames.
+
+    Names are followed back once for each field of each file, and a file's few changed names joined to its rows.
+    """
     moves = changes.filter("change_kind = 'renamed'")
     hops = moves.groupBy("series").agg(F.array_sort(F.collect_list(F.struct("produced", "file", "old_name", "field_name"))).alias("hops"))
-    rows = long.filter(F.col("value").isNotNull()).distinct().join(hops, "series", "left")
     made = F.struct("produced", "file")
-    past = F.filter(F.coalesce("hops", F.array().cast("array<struct<produced:timestamp,file:string,old_name:string,field_name:string>>")), lambda h: F.struct(h["produced"].alias("produced"), h["file"].alias("file")) <= made)
+    past = F.filter("hops", lambda h: F.struct(h["produced"].alias("produced"), h["file"].alias("file")) <= made)
     back = F.aggregate(F.reverse(past), F.col("field"), lambda acc, h: F.when(h["field_name"] == acc, h["old_name"]).otherwise(acc))
-    return rows.withColumn("field_name", back)
+    names = long.groupBy("series", "file", "field").agg(F.max("produced").alias("produced")).join(hops, "series").withColumn("first_name", back)
+    names = names.filter("first_name <> field").groupBy("series", "file").agg(F.map_from_entries(F.collect_list(F.struct("field", "first_name"))).alias("names"))
+    rows = long.filter(F.col("value").isNotNull()).distinct().join(names, ["series", "file"], "left")
+    return rows.withColumn("field_name", F.coalesce(F.try_element_at("names", F.col("field")), "field")).drop("names")

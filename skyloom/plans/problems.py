@@ -215,7 +215,7 @@ def p4_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All gauge values of all files under consistent names and types."""
+    """All gauge values of all files under consistent names, each field a number or a text throughout its series."""
     long = _gauges(spark, sf_dir)
     return drift.consistent(long, drift.changes_of(long)).select(F.col("id").alias("record_id"), F.col("series").alias("series_key"), F.col("file").alias("file_name"), F.col("grp").alias("group_key"), "field_name", "number", "text")
 
@@ -226,6 +226,54 @@ def p4_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.united(long, drift.changes_of(long)).select(F.col("id").alias("record_id"), F.col("series").alias("series_key"), F.col("file").alias("file_name"), F.col("grp").alias("group_key"), "field_name", "type", "integer", "number", "boolean", "text", "spelling")
 
 
+def p4_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union schema of each series and the fields promoted in it."""
+    long = _gauges(spark, sf_dir)
+    return drift.promotions(long, drift.changes_of(long)).withColumnRenamed("series", "series_key")
+
+
+_P4_CTE = r"""
+WITH RECURSIVE r AS MATERIALIZED (SELECT DISTINCT series_key AS s, file_name AS f, produced_at, group_key AS g, record_id, regexp_replace(payload, '([:\[,]\s*)-?NaN', '\1null', 'g') AS p FROM gauge_records),
+k AS (SELECT s, f, produced_at, g, record_id, p, unnest(json_keys(p)) AS name FROM r WHERE json_valid(p) AND json_type(p) = 'OBJECT'),
+t AS (SELECT s, f, produced_at, g, record_id, name, json_type(p, '$."' || name || '"') AS jt, json_extract_string(p, '$."' || name || '"') AS val FROM k),
+v AS MATERIALIZED (SELECT DISTINCT s, f, produced_at, g, record_id, name, CASE WHEN jt IN ('BIGINT', 'UBIGINT', 'HUGEINT') THEN 1 WHEN jt = 'DOUBLE' THEN 2 WHEN jt = 'BOOLEAN' THEN 4 WHEN jt = 'NULL' OR isnan(TRY_CAST(val AS DOUBLE)) THEN 0 ELSE 8 END AS ty, val,
+  CASE WHEN jt = 'NULL' OR isnan(TRY_CAST(val AS DOUBLE)) THEN NULL WHEN jt = 'BOOLEAN' THEN 'b:' || val ELSE coalesce(CAST(TRY_CAST(val AS DOUBLE) AS VARCHAR), 's:' || val) END AS same FROM t),
+h0 AS (SELECT s, f, name, max(produced_at) AS made_at, bit_or(ty) AS m FROM v GROUP BY ALL),
+h AS MATERIALIZED (SELECT s, f, name, made_at, CASE WHEN m IN (0, 1, 2, 4) THEN m WHEN m = 3 THEN 2 ELSE 8 END AS ty FROM h0),
+fi AS MATERIALIZED (SELECT s, f, max(made_at) AS made_at, lag(f) OVER (PARTITION BY s ORDER BY max(made_at), f) AS pf, row_number() OVER (PARTITION BY s ORDER BY max(made_at), f) AS i FROM h GROUP BY s, f),
+came AS (SELECT fi.s, fi.f, fi.pf, a.name FROM fi JOIN h a ON a.s = fi.s AND a.f = fi.f WHERE pf IS NOT NULL AND NOT EXISTS (SELECT 1 FROM h b WHERE b.s = fi.s AND b.f = fi.pf AND b.name = a.name)),
+went AS (SELECT fi.s, fi.f, fi.pf, b.name FROM fi JOIN h b ON b.s = fi.s AND b.f = fi.pf WHERE NOT EXISTS (SELECT 1 FROM h a WHERE a.s = fi.s AND a.f = fi.f AND a.name = b.name)),
+w AS (SELECT DISTINCT s, f, name, g, same FROM v WHERE same IS NOT NULL AND g IS NOT NULL),
+kept AS (SELECT c.s, c.f, o.name AS old, c.name AS new, a.g, max(CASE WHEN a.same = b.same THEN 1 ELSE 0 END) AS eq FROM came c JOIN went o ON c.s = o.s AND c.f = o.f
+  JOIN w a ON a.s = c.s AND a.f = c.f AND a.name = c.name JOIN w b ON b.s = c.s AND b.f = c.pf AND b.name = o.name AND b.g = a.g GROUP BY ALL),
+sc AS (SELECT s, f, old, new, count(*) AS n, avg(eq) AS share FROM kept GROUP BY ALL HAVING avg(eq) >= 0.5),
+rn AS MATERIALIZED (SELECT s, f, old, new FROM sc QUALIFY row_number() OVER (PARTITION BY s, f, new ORDER BY share DESC, n DESC, old, new) = 1 AND row_number() OVER (PARTITION BY s, f, old ORDER BY share DESC, n DESC, old, new) = 1),
+ev AS (SELECT rn.s, rn.f, new AS field_name, old AS old_name, 'renamed' AS kind, b.ty AS told, a.ty AS tnew FROM rn JOIN fi USING (s, f) JOIN h a ON a.s = rn.s AND a.f = rn.f AND a.name = new JOIN h b ON b.s = rn.s AND b.f = pf AND b.name = old
+  UNION ALL SELECT c.s, c.f, c.name, NULL, 'added', NULL, a.ty FROM came c JOIN h a ON a.s = c.s AND a.f = c.f AND a.name = c.name WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.s = c.s AND rn.f = c.f AND rn.new = c.name)
+  UNION ALL SELECT c.s, c.f, c.name, NULL, 'removed', b.ty, NULL FROM went c JOIN h b ON b.s = c.s AND b.f = c.pf AND b.name = c.name WHERE NOT EXISTS (SELECT 1 FROM rn WHERE rn.s = c.s AND rn.f = c.f AND rn.old = c.name)),
+stay AS (SELECT fi.s, fi.f, a.name AS field_name, NULL AS old_name, b.ty AS told, a.ty AS tnew FROM fi JOIN h a ON a.s = fi.s AND a.f = fi.f JOIN h b ON b.s = fi.s AND b.f = fi.pf AND b.name = a.name UNION ALL SELECT s, f, field_name, old_name, told, tnew FROM ev WHERE kind = 'renamed'),
+ch AS (SELECT * FROM ev UNION ALL SELECT s, f, field_name, old_name, 'type', told, tnew FROM stay WHERE told <> tnew AND told > 0 AND tnew > 0),
+back AS (SELECT h.s, h.f, h.name, h.name AS first_name, fi.i FROM h JOIN fi USING (s, f) UNION ALL
+  SELECT b.s, b.f, b.name, coalesce(rn.old, b.first_name), b.i - 1 FROM back b JOIN fi ON fi.s = b.s AND fi.i = b.i LEFT JOIN rn ON rn.s = b.s AND rn.f = fi.f AND rn.new = b.first_name WHERE b.i > 1),
+fn AS (SELECT s, f, name, first_name FROM back WHERE i = 1),
+named AS MATERIALIZED (SELECT v.*, first_name FROM v JOIN fn USING (s, f, name) WHERE val IS NOT NULL AND ty > 0),
+ki AS (SELECT s, first_name, bool_and(same NOT LIKE 'b:%' AND same NOT LIKE 's:%') AND bool_or(ty IN (1, 2)) AS is_number FROM named GROUP BY ALL)
+"""
+_P4_NAME = "CASE {} WHEN 0 THEN 'none' WHEN 1 THEN 'integer' WHEN 2 THEN 'number' WHEN 4 THEN 'boolean' WHEN 8 THEN 'string' END"
+P4_SQL = _P4_CTE + "SELECT f AS file_name, field_name, kind AS change_kind FROM ch"
+P4_LOG_SQL = _P4_CTE + f"SELECT s AS series_key, f AS file_name, pf AS previous_file, field_name, old_name, kind AS change_kind, {_P4_NAME.format('told')} AS old_type, {_P4_NAME.format('tnew')} AS new_type FROM ch JOIN fi USING (s, f)"
+P4_TABLE_SQL = _P4_CTE + "SELECT record_id, s AS series_key, f AS file_name, g AS group_key, first_name AS field_name, CASE WHEN is_number THEN TRY_CAST(val AS DOUBLE) END AS number, CASE WHEN NOT is_number THEN val END AS text FROM named JOIN ki USING (s, first_name)"
+P4_SCHEMA_SQL = _P4_CTE + f""", pm AS (SELECT s, first_name, f, name, bit_or(ty) AS m FROM named GROUP BY ALL), px AS (SELECT *, CASE WHEN m IN (0, 1, 2, 4) THEN m WHEN m = 3 THEN 2 ELSE 8 END AS ft FROM pm),
+un AS (SELECT s, first_name, bit_or(m) AS m, list_sort(list(DISTINCT ft)) AS each, count(DISTINCT name) AS n_names, count(DISTINCT f) AS n_files FROM px GROUP BY ALL), uy AS (SELECT *, CASE WHEN m IN (0, 1, 2, 4) THEN m WHEN m = 3 THEN 2 ELSE 8 END AS ut FROM un)
+SELECT s AS series_key, first_name AS field_name, {_P4_NAME.format('ut')} AS type, array_to_string([{_P4_NAME.format('x')} FOR x IN each], ',') AS seen, n_names, n_files, len(list_filter(each, lambda x: x <> ut)) > 0 AS is_promoted FROM uy"""
+
+
+P4_UNION_SQL = _P4_CTE + f""", un AS (SELECT s, first_name, bit_or(ty) AS m, bool_or(ty = 1 AND TRY_CAST(val AS BIGINT) IS NULL) AS beyond FROM named GROUP BY ALL),
+uy AS (SELECT *, CASE WHEN m = 1 AND beyond THEN 8 WHEN m IN (0, 1, 2, 4) THEN m WHEN m = 3 THEN 2 ELSE 8 END AS ut FROM un)
+SELECT record_id, s AS series_key, f AS file_name, g AS group_key, first_name AS field_name, {_P4_NAME.format('ut')} AS type, CASE WHEN ut = 1 THEN TRY_CAST(val AS BIGINT) END AS integer, CASE WHEN ut = 2 THEN TRY_CAST(val AS DOUBLE) END AS number,
+  CASE WHEN ut = 4 THEN val = 'true' END AS boolean, CASE WHEN ut = 8 THEN val END AS text, val AS spelling FROM named JOIN uy USING (s, first_name)"""
+
+
 def _registrations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "frame_registrations").filter(~F.coalesce("is_reference", F.lit(False)))
     rms, peak, dx, n, top = (F.col(c) for c in ("residual_rms_px", "residual_max_px", "dx", "n_matched", "n_detected"))
@@ -264,6 +312,6 @@ SELECT reg_id, field_name, 'spike' FROM c JOIN m USING (group_key, field_name) W
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found, "p1_footprints": p1_footprints, "p1_regions": p1_regions, "p2_found": p2_found, "p2_values": p2_values, "p3_found": p3_found, "p3_rows": p3_rows,
-    "p3_files": p3_files, "p4_found": p4_found, "p4_log": p4_log, "p4_table": p4_table, "p4_union": p4_union, "p5_found": p5_found, "p5_scores": p5_scores,
+    "p3_files": p3_files, "p4_found": p4_found, "p4_log": p4_log, "p4_table": p4_table, "p4_union": p4_union, "p4_schema": p4_schema, "p5_found": p5_found, "p5_scores": p5_scores,
 }
-SQL: dict[str, str] = {"p1_found": P1_SQL, "p1_footprints": P1_FOOTPRINTS_SQL, "p1_regions": P1_REGIONS_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_found": P3_SQL, "p3_rows": P3_ROWS_SQL, "p3_files": P3_FILES_SQL, "p5_found": P5_SQL}
+SQL: dict[str, str] = {"p1_found": P1_SQL, "p1_footprints": P1_FOOTPRINTS_SQL, "p1_regions": P1_REGIONS_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_found": P3_SQL, "p3_rows": P3_ROWS_SQL, "p3_files": P3_FILES_SQL, "p4_found": P4_SQL, "p4_log": P4_LOG_SQL, "p4_table": P4_TABLE_SQL, "p4_schema": P4_SCHEMA_SQL, "p4_union": P4_UNION_SQL, "p5_found": P5_SQL}

@@ -71,9 +71,22 @@ def test_consistent_table_keeps_first_names_and_one_type(spark):
     files = [{"a": {"x": 1, "z": "t"}}, {"a": {"x1": "1", "z": True}}, {"a": {"x2": 1.0, "z": "5"}}, {"a": {"x2": 4}}]
     t = long(spark, rows_of(files))
     got = sorted((r["file"], r["field_name"], r["number"], r["text"]) for r in drift.consistent(t, drift.changes_of(t)).collect())
-    assert got == [("s_0", "x", 1.0, None), ("s_0", "z", None, "t"), ("s_1", "x", 1.0, None), ("s_1", "z", None, "true"), ("s_2", "x", 1.0, None), ("s_2", "z", 5.0, None), ("s_3", "x", 4.0, None)]
+    assert got == [("s_0", "x", 1.0, None), ("s_0", "z", None, "t"), ("s_1", "x", 1.0, None), ("s_1", "z", None, "true"), ("s_2", "x", 1.0, None), ("s_2", "z", None, "5"), ("s_3", "x", 4.0, None)]
 
 
 def test_lattice(spark):
     t = long(spark, rows_of([{"a": {"i": 1, "m": 1, "b": True}, "b": {"i": 2, "m": 1.5, "b": "x"}}]))
     assert drift.headers_of(t).first()["header"] == {"i": drift.INTEGER, "m": drift.NUMBER, "b": drift.STRING}
+
+
+def test_union_schema_and_promotions(spark):
+    files = [{"a": {"x": 1, "z": "t", "n": 1}}, {"a": {"x1": 1, "z": True, "n": 0.5}, "b": {"x1": 2}}, {"a": {"x1": 2, "n": None}}]
+    t = long(spark, rows_of(files) + rows_of(files)[:1])
+    got = {r["field_name"]: tuple(r)[2:] for r in drift.promotions(t, drift.changes_of(t)).collect()}
+    assert got == {"x": ("integer", "integer", 2, 3, False), "z": ("string", "boolean,string", 1, 2, True), "n": ("number", "integer,number", 1, 2, True)}
+
+
+def test_a_field_of_strings_stays_a_text(spark):
+    t = long(spark, rows_of([{"a": {"code": "007", "m": 1}}, {"a": {"code": "12", "m": "x"}}]))
+    got = sorted((r["file"], r["field_name"], r["number"], r["text"]) for r in drift.consistent(t, drift.changes_of(t)).collect())
+    assert got == [("s_0", "code", None, "007"), ("s_0", "m", None, "1"), ("s_1", "code", None, "12"), ("s_1", "m", None, "x")]
