@@ -1,14 +1,18 @@
-"""Evaluation texts leaking into training text: latent semantic retrieval, then subsequence checks.
+"""Evaluation texts leaking into training text: latent semantic retrieval, then subsequence and answer checks.
 
-1. Texts become sequences of term numbers of the test items' vocabulary (fixed test
-   set, so its size is bounded); other words are -1. Long texts are cut into
-   overlapping parts, so that no part is unbounded and no passage is cut.
+The test items are a stated query set: it is taken in blocks of bounded size, each against all documents.
+
+1. Texts become sequences of term numbers of the block's vocabulary; other words are -1. Long
+   texts are cut into overlapping parts, so that no part is unbounded and no passage is cut.
 2. Passages are windows of words, weighted by inverse document frequency over all
    documents. A randomised SVD over all passages, distributed (each task adds up
    its share of the sketch), gives the latent space.
-3. Passages and item windows close to each other in it (cosine) are candidates.
+3. An index from terms to items counts a passage's words of each item; where there are
+   enough, the passage is a candidate if it is close to one of the item's windows in the latent space (cosine).
 4. A candidate holds if a window of the item has a long enough common subsequence
-   with the text about the passage and, exactly, few enough changed words.
+   with the text about the passage and, exactly, few enough changed words. A passage that other
+   text interrupts once holds if, besides, the words that only this item (or hardly another)
+   has, which carry its answer, lie on both sides of the interruption.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import html
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +33,12 @@ from skyloom.session import written
 
 PART, OVERLAP = 4096, 64
 WIDTH, STEP = 26, 5
-# Wherever a leaked stretch lies, one of the windows over it has at least so many words of the items' vocabulary.
-KNOWN = 18
+# Wherever a leaked stretch lies, one of the windows over it has at least 18 words of its item; of an interrupted one at least 10.
+KNOWN = 10
 RANK, SPARE, SEED = 256, 16, 5
-COSINE = 0.6
-MAX_VOCABULARY, MAX_ITEM_WORDS = 1_000_000, 4_000_000
+COSINE = 0.5
+BLOCK_WORDS = 20_000  # of the test items searched at once: at most so many terms, so the basis held by the driver and each task is under 50 MB
+PART_WORDS, OWN_ITEMS, ANSWERS = 6, 3, 1  # an interrupted passage: least words of a part, items that a word with an answer is in at most, least such words of a part
 # (words of an item window, words that may differ): a passage of n words of which one in eight may
 # differ holds one of these windows with at most as many changes, whatever n from 20 on
 WINDOWS = ((20, 2), (24, 3), (32, 4))
@@ -51,9 +57,9 @@ def words(text: str) -> list[str]:
 
 
 class Passages:
-    """Windows of a block of parts that hold enough known words, as rows of a small dense matrix over the block's terms."""
+    """Windows of a block of parts that hold a known word, with their terms and weights relative to the passage's norm."""
 
-    def __init__(self, offsets: np.ndarray, ids: np.ndarray, weight: np.ndarray, unknown: float, step: int = STEP, known: int = KNOWN):
+    def __init__(self, offsets: np.ndarray, ids: np.ndarray, weight: np.ndarray, unknown: float, step: int = STEP):
         self.ids, self.weight, self.unknown = ids, weight, unknown
         lengths = np.diff(offsets)
         n = np.maximum(1, -(-(lengths - WIDTH) // step) + 1)
@@ -61,21 +67,33 @@ class Passages:
         self.start = offsets[self.owner] + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * step
         self.end = np.minimum(self.start + WIDTH, offsets[self.owner + 1])
         there = np.r_[0, np.cumsum(ids >= 0)]
-        keep = there[self.end] - there[self.start] >= known
-        self.start, self.end, self.owner = self.start[keep], self.end[keep], self.owner[keep]
+        self.keep(there[self.end] > there[self.start])
+
+    def keep(self, which: np.ndarray) -> None:
+        self.start, self.end, self.owner = self.start[which], self.end[which], self.owner[which]
 
-    def rows(self, most: int = 1024) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-        """(which passages, their terms, weighted counts divided by the passage's norm) in blocks."""
+    def rows(self, most: int = 2048) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(which passages, term and weight of each of their known words, first such word of each passage) in blocks."""
         for s in range(0, len(self.start), most):
             part = slice(s, min(s + most, len(self.start)))
             a, n = self.start[part], self.end[part] - self.start[part]
             row = np.repeat(np.arange(len(a)), n)
             term = self.ids[np.repeat(a, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
             there = term >= 0
-            unknown = np.bincount(row[~there], minlength=len(a)) * self.unknown**2
-            terms, col = np.unique(term[there], return_inverse=True)
-            x = np.bincount(row[there] * len(terms) + col, self.weight[term[there]], len(a) * len(terms)).reshape(len(a), -1)
-            yield part, terms, (x / np.sqrt((x * x).sum(1) + unknown)[:, None]).astype(np.float32)
+            rest = np.bincount(row[~there], minlength=len(a)) * self.unknown**2
+            row, term = row[there], term[there]
+            # a term that comes several times weighs as often
+            key = row.astype(np.int64) * len(self.weight) + term
+            key, times = np.unique(key, return_counts=True)
+            row, term = key // len(self.weight), key % len(self.weight)
+            w = self.weight[term] * times
+            w /= np.sqrt(np.bincount(row, w * w, minlength=len(a)) + rest)[row]
+            yield part, term, w.astype(np.float32), np.searchsorted(row, np.arange(len(a)))
+
+
+def latent(basis: np.ndarray, term: np.ndarray, w: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Each passage in the latent space."""
+    return np.add.reduceat(basis[term] * w[:, None], first)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], most: int = 60_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -115,8 +133,12 @@ def _added_up(parts: DataFrame, basis: np.ndarray, weight: np.ndarray, unknown:
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, q = np.zeros((n_terms, width)), basis.astype(np.float32)
         for _, off, ids in _blocks(batches):
-            for _, terms, x in Passages(off, ids, weight, unknown, step=WIDTH, known=1).rows():
-                total[terms] += x.T @ (x @ q[terms])
+            for _, term, w, first in Passages(off, ids, weight, unknown, step=WIDTH).rows():
+                y = latent(q, term, w, first)
+                back = y[np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(term)]))] * w[:, None]
+                order = np.argsort(term, kind="stable")
+                some, at = np.unique(term[order], return_index=True)
+                total[some] += np.add.reduceat(back[order], at)
         blocks = [total[i : i + step].tobytes() for i in range(0, n_terms, step)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "data"])
 
@@ -129,7 +151,7 @@ def _added_up(parts: DataFrame, basis: np.ndarray, weight: np.ndarray, unknown:
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "data"])
 
     summed = parts.select("ids").mapInArrow(share, "block int, data binary").groupBy("block").applyInArrow(add, "block int, data binary")
-    got = {r["block"]: np.frombuffer(r["data"]).reshape(-1, width) for r in summed.collect()}  # vocabulary x rank: bounded
+    got = {r["block"]: np.frombuffer(r["data"]).reshape(-1, width) for r in summed.collect()}  # at most BLOCK_WORDS terms x rank
     return np.concatenate([got[k] for k in sorted(got)]) if got else np.zeros((n_terms, width))
 
 
@@ -186,8 +208,32 @@ def least_changes(pattern: np.ndarray, text: np.ndarray) -> np.ndarray:
     return best
 
 
-def holds(cases: list[tuple[np.ndarray, np.ndarray]], most: int = 40_000) -> np.ndarray:
-    """For each (text words, item words): whether the text holds a passage of the item."""
+def least_changes_in_two(pattern: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """As ``least_changes`` where other text, however long, may stand once between the window's words: before one of those that ``at`` marks."""
+    (rows, m), wide = pattern.shape, text.shape[1]
+    far = np.int16(999)
+
+    def ends(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """[j, k]: fewest changes between the first j words of p and a stretch of t that ends before k; then the least up to k."""
+        out = np.empty((m + 1, wide + 1, rows), np.int16)
+        out[0] = 0
+        out[:, 0] = np.arange(m + 1, dtype=np.int16)[:, None]
+        for k in range(wide):
+            for j in range(m):
+                differs = ((p[:, j] != t[:, k]) | (t[:, k] < 0)).astype(np.int16)
+                out[j + 1, k + 1] = np.minimum(np.minimum(out[j, k + 1] + 1, out[j + 1, k] + 1), out[j, k] + differs)
+        return np.minimum.accumulate(out, 1)
+
+    before, after = ends(pattern, text), ends(pattern[:, ::-1], text[:, ::-1])[::-1, ::-1]
+    both = np.where(at.T, (before[:m] + after[:m]).min(1), far)
+    return both.min(0)
+
+
+def holds(cases: list[tuple[np.ndarray, np.ndarray]], answers: list[np.ndarray] | None = None, most: int = 40_000) -> np.ndarray:
+    """For each (text words, item words): whether the text holds a passage of the item.
+
+    ``answers`` marks the words of each case's item that carry its answer; with it, passages interrupted once count too.
+    """
     out = np.zeros(len(cases), bool)
     present = [np.r_[0, np.cumsum(np.isin(item, text))] for text, item in cases]
     for n, changes in WINDOWS:
@@ -208,36 +254,73 @@ def holds(cases: list[tuple[np.ndarray, np.ndarray]], most: int = 40_000) -> np.
             for r, i in enumerate(part):
                 text[r, : len(cases[i][0])] = cases[i][0]
             near = np.flatnonzero(common_subsequence(pattern, text[of]) >= n - changes)
-            if len(near):
-                ok = least_changes(pattern[near], text[of[near]]) <= changes
-                out[np.array(part)[of[near[ok]]]] = True
+            if not len(near):
+                continue
+            ok = least_changes(pattern[near], text[of[near]]) <= changes
+            out[np.array(part)[of[near[ok]]]] = True
+            if answers is None:
+                continue
+            near = near[~out[np.array(part)[of[near]]]]
+            told = np.concatenate([np.lib.stride_tricks.sliding_window_view(answers[i], n)[live[i]] for i in part])[near]
+            upto = np.cumsum(told, 1) - told  # before each word
+            at = (upto >= ANSWERS) & (told.sum(1, keepdims=True) - upto >= ANSWERS)
+            at[:, :PART_WORDS] = at[:, n - PART_WORDS + 1 :] = False
+            near, at = near[at.any(1)], at[at.any(1)]
+            few = max(1, 20_000_000 // (wide * n))
+            for s in range(0, len(near), few):
+                r = near[s : s + few]
+                ok = least_changes_in_two(pattern[r], text[of[r]], at[s : s + few]) <= changes
+                out[np.array(part)[of[r[ok]]]] = True
     return out
 
 
-def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, rank: int = RANK, cosine: float = COSINE) -> DataFrame:
+def _item_blocks(items: DataFrame, item_id: str, item_text: str, block_words: int) -> Iterator[list[tuple[int, list[str]]]]:
+    """(item, words) in blocks of at most ``block_words``; an item of more is cut into overlapping pieces. The driver holds one block."""
+    least, margin = WINDOWS[0][0], max(n for n, _ in WINDOWS)
+    found = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).distinct().orderBy("i", "t")
+    block, total = [], 0
+    for k, t in found.toLocalIterator():
+        w = words(t)
+        for s in range(0, max(1, len(w) - margin), block_words - margin):
+            piece = w[s : s + block_words]
+            if len(piece) < least:
+                continue
+            if total + len(piece) > block_words:
+                yield block
+                block, total = [], 0
+            block.append((k, piece))
+            total += len(piece)
+    if block:
+        yield block
+
+
+def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str, rank: int = RANK, cosine: float = COSINE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(doc_id, item_id)``: documents that hold a passage of an item.
 
     A passage is at least 20 consecutive words of the item, of which up to one
-    in eight may be changed, dropped or added. The items are a fixed set: at most 4
-    million words and 1 million different ones, held by the driver and every task. Null
-    ids and texts hold nothing; items under 20 words have no passage; repeated
-    rows count once; empty tables give no rows.
+    in eight may be changed, dropped or added; other text of up to about 30 words may interrupt it once, if at least 6
+    words, one of which hardly another item has, are on either side. However many, the items
+    are searched in blocks of ``block_words`` words. Null ids and texts hold nothing; items under 20
+    words have no passage; repeated rows count once; empty tables give no rows.
     """
-    found = items.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("bigint"), F.col(item_text)).distinct().toLocalIterator()
-    item_words, total = [], 0
-    for k, t in found:
-        w = words(t)
-        total += len(w)
-        if total > MAX_ITEM_WORDS:
-            raise ValueError("the test items are too large to hold")
-        item_words.append((k, w))
+    found = [_leaked(docs, doc_id, text, block, rank, cosine) for block in _item_blocks(items, item_id, item_text, block_words)]
+    if not found:
+        return docs.sparkSession.createDataFrame([], SHAPE)
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+SHAPE = "doc_id bigint, item_id bigint"
+
+
+def _leaked(docs: DataFrame, doc_id: str, text: str, item_words: list[tuple[int, list[str]]], rank: int, cosine: float) -> DataFrame:
     vocabulary = {w: i for i, w in enumerate(sorted({w for _, x in item_words for w in x}))}
-    if len(vocabulary) > MAX_VOCABULARY:
-        raise ValueError("the test items' vocabulary is too large to hold")
-    shape = "doc_id bigint, item_id bigint"
-    if not vocabulary:
-        return docs.sparkSession.createDataFrame([], shape)
     item_ids = [(k, np.array([vocabulary[w] for w in x], np.int32)) for k, x in item_words]
+    # how often an item has a term does not matter: a word of the passage is the item's or not
+    of_item = np.zeros((len(vocabulary) + 1, len(item_ids)), np.uint16)
+    for i, (_, x) in enumerate(item_ids):
+        of_item[x, i] = 1
+    rare = of_item.sum(1) <= OWN_ITEMS
+    answers = [rare[x] for _, x in item_ids]
 
     parts = written(parts_of(docs, doc_id, text, vocabulary), "parts")
     n = max(1, parts.count())
@@ -249,32 +332,33 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
     basis = latent_basis(parts, weight, unknown, rank)
 
     # windows of the items in the latent space
-    ends = np.r_[0, np.cumsum([len(x) for _, x in item_ids])]
-    flat = np.concatenate([x for _, x in item_ids])
-    c = np.r_[np.zeros((1, basis.shape[1])), np.cumsum(weight[flat][:, None] * basis[flat], 0)]
-    width = WINDOWS[0][0]
-    at = [(i, s) for i, (_, x) in enumerate(item_ids) for s in sorted({*range(0, len(x) - width + 1, 3), len(x) - width}) if len(x) >= width]
-    if not at:
-        return docs.sparkSession.createDataFrame([], shape)
-    owner = np.array([i for i, _ in at])
-    lo = np.array([ends[i] + s for i, s in at])
-    target = c[lo + width] - c[lo]
-    target = (target / np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-12)).astype(np.float32)
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-    owners, latent = owner[first], basis.astype(np.float32)
+    width, targets = WINDOWS[0][0], []
+    for _, x in item_ids:
+        c = np.r_[np.zeros((1, basis.shape[1])), np.cumsum(weight[x][:, None] * basis[x], 0)]
+        s = np.array(sorted({*range(0, len(x) - width + 1, 3), len(x) - width}))
+        t = c[s + width] - c[s]
+        targets.append((t / np.maximum(np.linalg.norm(t, axis=1, keepdims=True), 1e-12)).astype(np.float32))
+    space, block = basis.astype(np.float32), max(4_096, 15_000_000 // len(item_ids))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, off, ids in _blocks(batches):
+        for b, off, ids in _blocks(batches, min(60_000, block)):
             p = Passages(off, ids, weight, unknown)
+            # words of each item in each passage: differences of running counts (modulo 2^16)
+            run = np.zeros((len(ids) + 1, len(item_ids)), np.uint16)
+            np.cumsum(of_item[ids], 0, out=run[1:], dtype=np.uint16)
+            many = run[p.end] - run[p.start] >= KNOWN
+            del run
+            enough = many.any(1)
+            p.keep(enough)
             if not len(p.start):
                 continue
-            hits = []
-            for part, terms, x in p.rows():
-                y = x @ latent[terms]
-                y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-                best = np.maximum.reduceat(y @ target.T, first, 1)
-                w, i = np.nonzero(best >= cosine)
-                hits.append(np.column_stack([p.owner[part][w], owners[i], p.start[part][w], p.end[part][w]]))
+            y = np.concatenate([latent(space, term, w, first) for _, term, w, first in p.rows()])
+            y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
+            hits, many = [np.empty((0, 4), np.int64)], many[enough]
+            for i in np.flatnonzero(many.any(0)):
+                w = np.flatnonzero(many[:, i])
+                w = w[(y[w] @ targets[i].T).max(1) >= cosine]
+                hits.append(np.column_stack([p.owner[w], np.full(len(w), i), p.start[w], p.end[w]]))
             h = np.concatenate(hits)
             if not len(h):
                 continue
@@ -285,10 +369,10 @@ def leaked(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: s
             s = np.flatnonzero(new)
             lo_, hi_ = h[s, 2] - margin, np.maximum.reduceat(h[:, 3], s) + margin
             lo_, hi_ = np.maximum(lo_, off[h[s, 0]]), np.minimum(hi_, off[h[s, 0] + 1])
-            ok = holds([(ids[a:z], item_ids[i][1]) for a, z, i in zip(lo_, hi_, h[s, 1])])
+            ok = holds([(ids[a:z], item_ids[i][1]) for a, z, i in zip(lo_, hi_, h[s, 1])], [answers[i] for i in h[s, 1]])
             if ok.any():
                 docs_ = b.column("doc_id").to_numpy()[h[s[ok], 0]]
                 pair = np.unique(np.column_stack([docs_, [item_ids[i][0] for i in h[s[ok], 1]]]), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["doc_id", "item_id"])
 
-    return parts.mapInArrow(search, shape).distinct()
+    return parts.mapInArrow(search, SHAPE)

@@ -27,8 +27,8 @@ MAX_LIMITS = 1_000
 RANKS = "byte_bpe_50k.tiktoken"
 
 _ITEM = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64())])
-_WINDOW = "limit_id int, window string, is_full boolean, used bigint, items array<struct<doc_id:bigint,piece:int,start:bigint,n_tokens:bigint>>"
-_NAMES = ["limit_id", "window", "is_full", "used", "items"]
+_WINDOW = "limit_id int, capacity bigint, window string, is_full boolean, used bigint, items array<struct<doc_id:bigint,piece:int,start:bigint,n_tokens:bigint>>"
+_NAMES = ["limit_id", "capacity", "window", "is_full", "used", "items"]
 
 
 def tokenizer_path(name: str = RANKS) -> str:
@@ -98,14 +98,15 @@ class Open:
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     c = list(zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.string()), pa.array(c[2], pa.bool_()), pa.array(c[3], pa.int64()), pa.array(c[4], pa.list_(_ITEM))], _NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.string()), pa.array(c[3], pa.bool_()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.list_(_ITEM))], _NAMES)
 
 
 def packed(docs: DataFrame, id: str, text: str, limits: DataFrame, path: str | None = None, open_windows: int = OPEN_WINDOWS) -> DataFrame:
     """``(limit_id, container_id, used, doc_id, piece, start, n_tokens)``: every text in a container of each capacity.
 
     ``limits`` holds ``limit_id`` and ``capacity_tokens`` (at most 1,000 rows; null or
-    non-positive capacities and repeated rows are left out). A text is whole
+    non-positive capacities and repeated rows are left out; an id with several capacities
+    has containers of each, whose ids begin with the capacity). A text is whole
     (piece 0, start 0) unless it alone exceeds the capacity; then it is cut every
     ``capacity`` tokens, and only its last piece shares a container. Null and
     empty texts have no tokens and come out all the same; a container holds at most
@@ -119,21 +120,21 @@ def packed(docs: DataFrame, id: str, text: str, limits: DataFrame, path: str | N
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        state = {k: Open(c, open_windows) for k, c in caps}
+        state = {(k, c): Open(c, open_windows) for k, c in caps}
         for b in batches:
             out = []
             for doc, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 n = n_tokens(t, path)
                 for limit, cap in caps:
-                    o = state[limit]
+                    o = state[limit, cap]
                     pieces = max(1, math.ceil(n / cap))
                     for p in range(pieces):
                         size = min(cap, n - p * cap)
                         for w, used, items in o.put(size, [(doc, p, p * cap, size)]):
-                            out.append((limit, f"{part}-{w}", True, used, items))
+                            out.append((limit, cap, f"{cap}-{part}-{w}", True, used, items))
             if out:
                 yield _rows(out)
-        left = [(limit, f"{part}-{w}", False, used, items) for limit, o in state.items() for w, used, items in o.rest()]
+        left = [(limit, cap, f"{cap}-{part}-{w}", False, used, items) for (limit, cap), o in state.items() for w, used, items in o.rest()]
         if left:
             yield _rows(left)
 
@@ -145,8 +146,8 @@ def packed(docs: DataFrame, id: str, text: str, limits: DataFrame, path: str | N
         rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (-r["used"], r["window"]))
         if not rows:
             return
-        limit = rows[0]["limit_id"]
-        o = Open(dict(caps)[limit], len(rows))
+        limit, cap = rows[0]["limit_id"], rows[0]["capacity"]
+        o = Open(cap, len(rows))
         done, name = [], {}
         for r in rows:  # longest first into the best fit: all windows of the group stay open
             first = o.next
@@ -157,8 +158,8 @@ def packed(docs: DataFrame, id: str, text: str, limits: DataFrame, path: str | N
             done += closed
         done += o.rest()
         for k in range(0, len(done), 1000):
-            yield _rows([(limit, name[w], True, used, items) for w, used, items in done[k : k + 1000]])
+            yield _rows([(limit, cap, name[w], True, used, items) for w, used, items in done[k : k + 1000]])
 
-    merged = left.withColumn("g", F.pmod(F.xxhash64("window"), F.lit(groups))).groupBy("limit_id", "g").applyInArrow(lambda t: t if not t.num_rows else pa.Table.from_batches(list(merge(iter(t.drop_columns("g").to_batches()))), schema=t.drop_columns("g").schema), _WINDOW)
+    merged = left.withColumn("g", F.pmod(F.xxhash64("window"), F.lit(groups))).groupBy("limit_id", "capacity", "g").applyInArrow(lambda t: t if not t.num_rows else pa.Table.from_batches(list(merge(iter(t.drop_columns("g").to_batches()))), schema=t.drop_columns("g").schema), _WINDOW)
     both = windows.filter("is_full").unionByName(merged)
     return both.select("limit_id", F.col("window").alias("container_id"), "used", F.inline("items")).withColumnsRenamed({"col1": "doc_id"})

@@ -108,3 +108,37 @@ def test_nothing_to_find(spark):
     assert found(spark, [], [(1, "text")]) == set()
     assert found(spark, [(1, " ".join(N[:30]))], []) == set()
     assert found(spark, [(1, None)], [(1, "a")]) == set()
+
+
+def test_passages_interrupted_once(spark):
+    rng = random.Random(9)
+    items = {k: [f"{x}{k}" if i % 5 == 0 else x for i, x in enumerate(sentence(rng, 40))] for k in range(5)}
+    closing = "which of these is best supported by the passage above then".split()
+    items = {k: w + closing for k, w in items.items()}
+    noise = [f"w{i}" for i in range(25)]
+    w = items[2]
+    docs = {
+        0: w[3:15] + noise + w[15:26],  # held, interrupted once
+        1: w[3:9] + noise + w[9:15] + noise[::-1] + w[15:23],  # three shorter phrases
+        2: w[3:13] + noise,  # a shorter phrase alone
+        3: w[34:40] + noise + closing,  # the rest is in every item
+        4: w[14:26] + noise + w[3:14],  # in another order
+    }
+    assert found(spark, [(k, " ".join(x)) for k, x in items.items()], [(k, " ".join(x)) for k, x in docs.items()]) == {(0, 2)}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=8, max_size=8), st.lists(st.integers(-1, 5), min_size=1, max_size=25), st.integers(1, 7))
+def test_changes_in_two_parts_are_exact(p, t, at):
+    marks = np.zeros((1, 8), bool)
+    marks[0, at] = True
+    want = min(fewest(p[:at], t[:k]) + fewest(p[at:], t[k:]) for k in range(len(t) + 1))
+    assert L.least_changes_in_two(np.array([p], np.int32), np.array([t], np.int32), marks)[0] == want
+
+
+def test_items_in_blocks_find_the_same(spark, case):
+    items, docs, want = case
+    long = [(900, " ".join(w for k in sorted(items) for w in items[k]))]  # more words than a block
+    texts = [(k, " ".join(w)) for k, w in docs.items()]
+    got = found(spark, [(k, " ".join(w)) for k, w in items.items()] + long, texts, block_words=200)
+    assert {x for x in got if x[1] != 900} == want and {(d, 900) for d, _ in want} <= got

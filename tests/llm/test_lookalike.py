@@ -50,3 +50,15 @@ def test_empty_table_and_forms(spark):
     assert L.equal_looks(docs(spark, []), "doc_id", "text").count() == 0
     got = {r["doc_id"]: (r["form"], r["changed"]) for r in L.forms(docs(spark, [(1, "\uff21", "", 0), (2, "A", "", 0), (3, None, "", 0)]), "doc_id", "text").collect()}
     assert got == {1: ("A", True), 2: ("A", False), 3: (None, False)}
+
+
+def test_loose_looks():
+    assert L.skeleton("I1l 0O “modern”", loose=True) == L.skeleton("lll OO \"rnodern\"", loose=True)
+    assert L.skeleton("I1l") != L.skeleton("lll") and L.skeleton("ᏚᎠꓳ") == "SDO"
+
+
+def test_a_look_of_ten_thousand_documents(spark):
+    rows = [(i, "thanks" if i % 100 else "thаnks", "", 0) for i in range(10_000)]
+    assert L.equal_looks(docs(spark, rows), "doc_id", "text").count() == 9_900 * 100
+    got = L.groups(docs(spark, rows + rows[:50] + [(20_000, "alone", "", 0)]), "doc_id", "text")
+    assert got.count() == 10_000 and {tuple(r) for r in got.select("class_id", "n_spellings").distinct().collect()} == {(0, 2)}

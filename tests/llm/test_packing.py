@@ -66,3 +66,16 @@ def test_limits_are_bounded(spark):
     many = spark.range(2000).select(F.col("id").cast("int").alias("limit_id"), F.lit(5).alias("capacity_tokens"))
     with pytest.raises(ValueError):
         P.packed(d, "doc_id", "text", many)
+
+
+def test_an_id_with_several_capacities(spark):
+    texts = ["word " * (k % 40) for k in range(120)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(2)
+    limits = spark.createDataFrame([(1, 100), (1, 20), (1, 100)], "limit_id int, capacity_tokens int")
+    held = defaultdict(int)
+    for r in P.packed(d, "doc_id", "text", limits).collect():
+        held[int(r["container_id"].split("-")[0]), r["container_id"]] += r["n_tokens"]
+    total = sum(P.n_tokens(t, PATH) for t in texts)
+    for cap in (100, 20):
+        own = [n for (c, _), n in held.items() if c == cap]
+        assert sum(own) == total and max(own) <= cap
