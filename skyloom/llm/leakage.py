@@ -33,8 +33,8 @@ from skyloom.session import written
 
 PART, OVERLAP = 4096, 64
 WIDTH, STEP = 26, 5
-# Wherever a leaked stretch lies, one of the windows over it has at least 18 words of its item; of an interrupted one at least 10.
-KNOWN = 10
+# Wherever a leaked stretch lies, one of the windows over it has at least 18 words of its item; of an interrupted one at least 10, with a word that carries the answer.
+KNOWN, HALF = 18, 10
 RANK, SPARE, SEED = 256, 16, 5
 COSINE = 0.5
 BLOCK_WORDS = 20_000  # of the test items searched at once: at most so many terms, so the basis held by the driver and each task is under 50 MB
@@ -125,21 +125,25 @@ def parts_of(docs: DataFrame, id: str, text: str, vocabulary: dict[str, int]) ->
     return rows.mapInArrow(read, "doc_id bigint, ids array<int>")
 
 
-def _added_up(parts: DataFrame, basis: np.ndarray, weight: np.ndarray, unknown: float) -> np.ndarray:
-    """Gram matrix of passages that together hold every word, times ``basis``: each task adds up its passages, Spark the tasks' blocks of terms."""
-    n_terms, width = basis.shape
+def _added_up(parts: DataFrame, basis: np.ndarray, weight: np.ndarray, unknown: float, small: bool = False) -> np.ndarray:
+    """Gram matrix A'A of passages that together hold every word, times ``basis`` (or basis' A'A basis): each task adds up its passages, Spark the tasks' blocks of rows."""
+    width = basis.shape[1]
+    n_rows = width if small else len(basis)
     step = 256
 
     def share(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, q = np.zeros((n_terms, width)), basis.astype(np.float32)
+        total, q = np.zeros((n_rows, width)), basis.astype(np.float32)
         for _, off, ids in _blocks(batches):
             for _, term, w, first in Passages(off, ids, weight, unknown, step=WIDTH).rows():
                 y = latent(q, term, w, first)
+                if small:
+                    total += y.T @ y
+                    continue
                 back = y[np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(term)]))] * w[:, None]
                 order = np.argsort(term, kind="stable")
                 some, at = np.unique(term[order], return_index=True)
                 total[some] += np.add.reduceat(back[order], at)
-        blocks = [total[i : i + step].tobytes() for i in range(0, n_terms, step)]
+        blocks = [total[i : i + step].tobytes() for i in range(0, n_rows, step)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +156,7 @@ def _added_up(parts: DataFrame, basis: np.ndarray, weight: np.ndarray, unknown:
 
     summed = parts.select("ids").mapInArrow(share, "block int, data binary").groupBy("block").applyInArrow(add, "block int, data binary")
     got = {r["block"]: np.frombuffer(r["data"]).reshape(-1, width) for r in summed.collect()}  # at most BLOCK_WORDS terms x rank
-    return np.concatenate([got[k] for k in sorted(got)]) if got else np.zeros((n_terms, width))
+    return np.concatenate([got[k] for k in sorted(got)]) if got else np.zeros((n_rows, width))
 
 
 def latent_basis(parts: DataFrame, weight: np.ndarray, unknown: float, rank: int = RANK) -> np.ndarray:
@@ -161,8 +165,7 @@ def latent_basis(parts: DataFrame, weight: np.ndarray, unknown: float, rank: int
     width = min(n, rank + SPARE)
     q = np.linalg.qr(np.random.default_rng(SEED).standard_normal((n, width)))[0]
     q = np.linalg.qr(_added_up(parts, q, weight, unknown))[0]
-    z = _added_up(parts, q, weight, unknown)
-    small = q.T @ z
+    small = _added_up(parts, q, weight, unknown, small=True)
     value, vector = np.linalg.eigh((small + small.T) / 2)
     return q @ vector[:, np.argsort(value)[::-1][:rank]]
 
@@ -321,6 +324,7 @@ def _leaked(docs: DataFrame, doc_id: str, text: str, item_words: list[tuple[int,
         of_item[x, i] = 1
     rare = of_item.sum(1) <= OWN_ITEMS
     answers = [rare[x] for _, x in item_ids]
+    of_item += 256 * (of_item & rare[:, None])  # words in the lower byte, those that carry an answer in the upper one
 
     parts = written(parts_of(docs, doc_id, text, vocabulary), "parts")
     n = max(1, parts.count())
@@ -346,7 +350,8 @@ def _leaked(docs: DataFrame, doc_id: str, text: str, item_words: list[tuple[int,
             # words of each item in each passage: differences of running counts (modulo 2^16)
             run = np.zeros((len(ids) + 1, len(item_ids)), np.uint16)
             np.cumsum(of_item[ids], 0, out=run[1:], dtype=np.uint16)
-            many = run[p.end] - run[p.start] >= KNOWN
+            many = run[p.end] - run[p.start]
+            many = (many & 255 >= KNOWN) | (many & 255 >= HALF) & (many >= 256)
             del run
             enough = many.any(1)
             p.keep(enough)
