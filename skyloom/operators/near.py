@@ -28,19 +28,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.functions import triangles as tri
+from skyloom.functions.isolation import mixed
 
 LEAF_ROWS = 40_000
-SAMPLE_ROWS = 262_144  # rows of (long, double, double) the driver may hold to place the cuts
-PER_LEAF = 16
+SAMPLE_ROWS = 1 << 21  # rows of (long, double, double) the driver may hold to place the cuts
+PER_LEAF = 8
 ROUTED = "leaf int, is_point boolean, whole boolean, id bigint, z bigint, x double, y double"
 
 
 class Cuts:
-    """Upper hierarchy: at node k a cut of plane (0), x (1) or y (2), or leaf number ``leaf[k]``."""
+    """Upper hierarchy: at node k a cut of plane (0), x (1) or y (2), or leaf number ``leaf[k]``.
+
+    Rows at one spot cannot be cut apart. Their leaf is split instead: into ``split[leaf]`` shares of
+    its points, or of points and of regions.
+    """
 
     def __init__(self, z: np.ndarray, x: np.ndarray, y: np.ndarray, leaves: int):
         self.dim, self.zcut, self.cut, self.child, self.leaf = [], [], [], [], []
-        self.leaves = 0
+        self.leaves, split = 0, []
         per = max(1.0, len(z) / leaves)
         todo = [(np.arange(len(z)), None, 0)]
         while todo:
@@ -70,7 +75,32 @@ class Cuts:
             self.child.append([0, 0])
             self.leaf.append(self.leaves if dim < 0 else -1)
             self.leaves += dim < 0
+            if dim < 0:
+                split.append(int(np.ceil(len(rows) / per)) if len(rows) > 1.5 * per else 1)
         self.dim, self.zcut, self.cut, self.child, self.leaf = map(np.array, (self.dim, self.zcut, self.cut, self.child, self.leaf))
+        self.split = np.array(split)
+
+    def groups(self, square: bool) -> int:
+        return int((self.split**2 if square else self.split).sum())
+
+    def shares(self, leaf: np.ndarray, ids: np.ndarray, points: bool, square: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(row, group) of rows of leaves: a point and a region of one leaf meet in exactly one group.
+
+        ``square`` cuts both sides of a split leaf by their ids; else regions go to all shares of the points.
+        """
+        size = self.split**2 if square else self.split
+        base = np.cumsum(size) - size
+        s = self.split[leaf]
+        if (s == 1).all():
+            return np.arange(len(leaf)), base[leaf]
+        own = (mixed(ids) % s.astype(np.uint64)).astype(np.int64)
+        if points and not square:
+            return np.arange(len(leaf)), base[leaf] + own
+        row = np.repeat(np.arange(len(leaf)), s)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(s) - s, s)
+        if not square:
+            return row, base[leaf][row] + other
+        return row, base[leaf][row] + (own[row] * s[row] + other if points else other * s[row] + own[row])
 
     def of_boxes(self, z, x0, y0, x1, y1) -> tuple[np.ndarray, np.ndarray]:
         """(box index, leaf) of every leaf that a box touches; a point is a box without extent."""
@@ -195,12 +225,16 @@ def near_pairs(at: DataFrame, radius: float, sphere: bool = False, leaf_rows: in
             r, leaf = cuts.of_boxes(z, x, y, x, y)
             home = np.empty(len(z), np.int64)
             home[r] = leaf
-            yield _routed(home, True, False, ids, z, x, y)
+            r, group = cuts.shares(home, ids, True, True)
+            # a point of a split leaf is no region there: its region is a row of its own
+            yield _routed(group, True, cuts.split[home[r]] > 1, ids[r], z[r], x[r], y[r])
             # a pair is found from the point with the smaller x, so its region is the right half of the box
             r, leaf = cuts.of_boxes(z, x, y - h, x + h, y + h)
-            away = leaf != home[r]
+            away = (leaf != home[r]) | (cuts.split[leaf] > 1)
             r, leaf = r[away], leaf[away]
-            yield _routed(leaf, False, False, ids[r], z[r], x[r], y[r])
+            k, group = cuts.shares(leaf, ids[r], False, True)
+            r = r[k]
+            yield _routed(group, False, False, ids[r], z[r], x[r], y[r])
             if not sphere:
                 continue
             close = np.flatnonzero(np.maximum(np.abs(x), np.abs(y)) + 2 * h >= 1)
@@ -213,7 +247,9 @@ def near_pairs(at: DataFrame, radius: float, sphere: bool = False, leaf_rows: in
                 uv, g, own = uv[hit], g[hit], ids[close][k][hit]
                 face = np.full(len(own), f)
                 r, leaf = cuts.of_boxes(face, uv[:, 0] - g, uv[:, 1] - g, uv[:, 0] + g, uv[:, 1] + g)
-                yield _routed(leaf, False, True, own[r], face[r], uv[r, 0], uv[r, 1])
+                k, group = cuts.shares(leaf, own[r], False, True)
+                r = r[k]
+                yield _routed(group, False, True, own[r], face[r], uv[r, 0], uv[r, 1])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
@@ -228,11 +264,17 @@ def near_pairs(at: DataFrame, radius: float, sphere: bool = False, leaf_rows: in
         ids, z, x, y, whole = (get[c][rows] for c in ("id", "z", "x", "y", "whole"))
         plane = np.unique(z, return_inverse=True)[1].astype(float)
         h = half(x, y)
-        left = np.where(whole, x - h, x)
-        box = np.stack([np.column_stack(c) for c in ((left, y - h), (x + h, y - h), (x + h, y + h), (left, y + h))], 1)
+        point = get["is_point"][rows]
+        region = np.flatnonzero(~(point & whole))
+        rx, ry, rh = x[region], y[region], h[region]
+        left = np.where(whole[region], rx - rh, rx)
+        box = np.stack([np.column_stack(c) for c in ((left, ry - rh), (rx + rh, ry - rh), (rx + rh, ry + rh), (left, ry + rh))], 1)
         owner, tris = tri.ear_clip_quads(box)
+        owner = region[owner]
+        if not len(tris):
+            return
         bvh = tri.Bvh(plane[owner], tris)
-        pts = np.flatnonzero(get["is_point"][rows])
+        pts = np.flatnonzero(point)
         pts = pts[tri.curve_order(plane[pts], x[pts], y[pts])]
         for pt, tr in bvh.candidates(plane[pts], x[pts], y[pts]):
             b, a = pts[pt], owner[tr]
@@ -254,21 +296,51 @@ def near_pairs(at: DataFrame, radius: float, sphere: bool = False, leaf_rows: in
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["id_a", "id_b"])
 
     routed = at.select("id", "z", "x", "y").mapInArrow(route, ROUTED)
-    return routed.repartition(cuts.leaves, "leaf").groupBy("leaf").applyInArrow(search, "id_a bigint, id_b bigint")
+    return routed.repartition(cuts.groups(True), "leaf").groupBy("leaf").applyInArrow(search, "id_a bigint, id_b bigint")
 
 
 # -- points inside regions --------------------------------------------------------------------------
 
 
 def sky_region_faces(ring: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """A ring of (lon, lat) degrees, spanning under 60 degrees, on each cube face that it may touch."""
+    """A ring of (lon, lat) degrees within a hemisphere on each cube face that it may touch.
+
+    Where a corner lies behind a face's horizon, the ring is first clipped to the face: by the four planes through
+    the sphere's centre and the face's edges, in which great circles meet straight lines.
+    """
     p = unit(ring[:, 0], ring[:, 1])
     for f in range(6):
         uv = on_face(p, np.full(len(p), f))
-        if np.isfinite(uv).all() and (uv.min(0) <= 1).all() and (uv.max(0) >= -1).all():
+        if not np.isfinite(uv).all():
+            ax = _AXES[f // 2]
+            w = np.zeros(3)
+            w[ax[0]] = (-1.0 if f % 2 else 1.0) * (1 + 1e-9)
+            q = p
+            for k, sign in ((1, 1.0), (1, -1.0), (2, 1.0), (2, -1.0)):
+                side = w.copy()
+                side[ax[k]] = sign
+                q = _above(q, side)
+            if len(q) < 3:
+                continue
+            uv = on_face(q, np.full(len(q), f))
+        if (uv.min(0) <= 1).all() and (uv.max(0) >= -1).all():
             yield f, uv
 
 
+def _above(p: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """The corners of a ring of directions cut to the half space ``side``."""
+    if not len(p):
+        return p
+    d = p @ side
+    out = []
+    for k in range(len(p)):
+        if d[k - 1] < 0 < d[k] or d[k] < 0 < d[k - 1]:
+            out.append(p[k - 1] + (p[k] - p[k - 1]) * (d[k - 1] / (d[k - 1] - d[k])))
+        if d[k] >= 0:
+            out.append(p[k])
+    return np.array(out).reshape(-1, 3)
+
+
 def sky_rings(regions: DataFrame) -> DataFrame:
     """Regions ``(region_id, ring of [lon, lat] degrees)`` on the cube faces of ``sky_plane``."""
 
@@ -305,7 +377,9 @@ def regions_of(at: DataFrame, regions: DataFrame, leaf_rows: int = LEAF_ROWS) ->
         for b in batches:
             ids, z, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("id", "z", "x", "y"))
             r, leaf = cuts.of_boxes(z, x, y, x, y)
-            yield batch(leaf, ids[r], z[r], x[r], y[r], [None] * len(r))
+            k, group = cuts.shares(leaf, ids[r], True, False)
+            r = r[k]
+            yield batch(group, ids[r], z[r], x[r], y[r], [None] * len(r))
 
     def route_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -314,6 +388,8 @@ def regions_of(at: DataFrame, regions: DataFrame, leaf_rows: int = LEAF_ROWS) ->
             owner, t = tri.ear_clip(rings)
             lo, hi = t.min(1), t.max(1)
             r, leaf = cuts.of_boxes(z[owner], lo[:, 0], lo[:, 1], hi[:, 0], hi[:, 1])
+            k, leaf = cuts.shares(leaf, ids[owner[r]], False, False)
+            r = r[k]
             yield batch(leaf, ids[owner[r]], z[owner[r]], np.full(len(r), np.nan), np.full(len(r), np.nan), list(t[r].reshape(-1, 6)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,11 +404,11 @@ def regions_of(at: DataFrame, regions: DataFrame, leaf_rows: int = LEAF_ROWS) ->
             return
         bvh = tri.Bvh(plane[is_tri], tris)
         pts = np.flatnonzero(~is_tri)
-        found = []
+        found, ends = [], {}
         for pt, tr in bvh.candidates(plane[pts], x[pts], y[pts]):
             p = pts[pt]
             k, edge = tri.in_triangle(tris[tr], x[p], y[p])
-            found.append(np.column_stack([p[k], owner[tr[k]], _outer(tris, tr[k], x[p[k]], y[p[k]], edge[k], owner, plane[is_tri])]))
+            found.append(np.column_stack([p[k], owner[tr[k]], _outer(tris, tr[k], x[p[k]], y[p[k]], edge[k], owner, plane[is_tri], ends)]))
         hits = np.concatenate(found) if found else np.empty((0, 3), np.int64)
         if not len(hits):
             return
@@ -347,20 +423,22 @@ def regions_of(at: DataFrame, regions: DataFrame, leaf_rows: int = LEAF_ROWS) ->
         yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1]), pa.array(out[:, 2] > 0)], ["id", "region_id", "on_boundary"])
 
     both = at.select("id", "z", "x", "y").mapInArrow(route_points, routed).unionByName(regions.filter(F.col("region_id").isNotNull()).select("region_id", "z", "ring").mapInArrow(route_regions, routed))
-    return both.repartition(cuts.leaves, "leaf").groupBy("leaf").applyInArrow(search, "id bigint, region_id bigint, on_boundary boolean")
+    return both.repartition(cuts.groups(False), "leaf").groupBy("leaf").applyInArrow(search, "id bigint, region_id bigint, on_boundary boolean")
 
 
-def _outer(tris, tr, x, y, edge, owner, plane) -> np.ndarray:
-    """1 where a point on a triangle's edge is on its region's boundary: no other triangle of it shares that edge."""
+def _outer(tris, tr, x, y, edge, owner, plane, ends: dict[tuple, int]) -> np.ndarray:
+    """1 where a point on a triangle's edge is on its region's boundary: no other triangle of it shares that edge.
+
+    ``ends`` keeps how many triangles share each edge, counted when a point first lies on one.
+    """
     out = np.zeros(len(tr), np.int64)
     if not edge.any():
         return out
-    ends: dict[tuple, int] = {}
-    mine = np.isin(owner, owner[tr[edge]])
-    for t in np.flatnonzero(mine):
-        for i in range(3):
-            a, b = sorted((tuple(tris[t, i]), tuple(tris[t, (i + 1) % 3])))
-            ends[owner[t], plane[t], a, b] = ends.get((owner[t], plane[t], a, b), 0) + 1
+    if not ends:
+        for t in range(len(tris)):
+            for i in range(3):
+                a, b = sorted((tuple(tris[t, i]), tuple(tris[t, (i + 1) % 3])))
+                ends[owner[t], plane[t], a, b] = ends.get((owner[t], plane[t], a, b), 0) + 1
     for k in np.flatnonzero(edge):
         t = tr[k]
         for i in range(3):

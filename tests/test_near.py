@@ -125,3 +125,35 @@ def test_sky_regions_over_the_pole(spark):
     rings = near.sky_rings(spark.createDataFrame([(1, ring)], "region_id bigint, ring array<array<double>>"))
     at = near.sky_plane(spark.createDataFrame([(1, 33.0, 89.9), (2, 10.0, 88.0), (3, 200.0, 89.5)], "id bigint, a double, b double"), "id", "a", "b")
     assert {r[0] for r in near.regions_of(at, rings).collect()} == {1, 3}
+
+
+def test_rows_at_one_spot_are_split(spark):
+    rows = [(i, "a", 10.0, 20.0, "") for i in range(400)] + [(1000 + i, "a", 10.0 + 0.5 * (i % 7), 20.0, "") for i in range(60)] + [(2000 + i, "b", float(i), 0.0, "") for i in range(90)]
+    at = near.flat_plane(frame(spark, rows + rows[:80]), "id", F.col("plane"), "x", "y")
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and math.hypot(a[2] - b[2], a[3] - b[3]) <= 2.0 + 1e-9}
+    assert near.place_cuts(at.select("z", "x", "y"), 50).split.max() > 4
+    assert pairs(near.near_pairs(at, 2.0, leaf_rows=50)) == want
+    square = [(7, [[5.0, 15.0], [15.0, 15.0], [15.0, 25.0], [5.0, 25.0]]), (8, [[10.0, 20.0], [30.0, 20.0], [30.0, 40.0]])]
+    z = at.filter("x = 10 AND y = 20").select("z").first()[0]
+    regions = spark.createDataFrame([(k, z, r) for k, r in square], "region_id bigint, z bigint, ring array<array<double>>")
+    got = near.regions_of(at.filter(F.col("z") == z), regions, leaf_rows=50)
+    assert {r["id"] for r in got.filter("region_id = 7").collect()} >= {r[0] for r in rows[:400]}
+    assert got.count() == got.distinct().count()
+
+
+def test_regions_over_a_third_of_the_sphere(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(3_000, 3))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    rows = [(i, math.degrees(math.atan2(p[1], p[0])), math.degrees(math.asin(p[2]))) for i, p in enumerate(v)]
+    rings = {1: [[-60.0, -50.0], [60.0, -50.0], [60.0, 50.0], [-60.0, 50.0]], 2: [[100.0, 10.0], [170.0, 10.0], [170.0, 80.0], [100.0, 80.0]], 3: [[0.0, 40.0], [120.0, 40.0], [240.0, 40.0]]}
+
+    def inside(p, ring):  # convex rings: left of every great circle
+        c = near.unit(np.array([x[0] for x in ring]), np.array([x[1] for x in ring]))
+        side = np.array([np.cross(c[k - 1], c[k]) @ p for k in range(len(c))])
+        return (side > 0).all()
+
+    want = {(i, k) for i, p in enumerate(v) for k, ring in rings.items() if inside(p, ring)}
+    at = near.sky_plane(spark.createDataFrame(rows, "id int, ra double, dec double"), "id", "ra", "dec")
+    regions = near.sky_rings(spark.createDataFrame(list(rings.items()), "region_id bigint, ring array<array<double>>"))
+    assert {(r["id"], r["region_id"]) for r in near.regions_of(at, regions).collect()} == want and len(want) > 800
