@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from skyloom.session import written
 
 
-def connected(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame, a: str, b: str) -> DataFrame:
     """``(node, root)``: each node of the edges with the smallest node that it is linked to.
 
     The graph is contracted round by round: a label points to the smallest label within two
@@ -24,9 +22,7 @@ def connected(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
     both = e.unionAll(e.select("v", "u"))
     roots = both.groupBy("u").agg(F.lit(1)).select(F.col("u").alias("node"), F.col("u").alias("root"))
     links = written(both.filter("u <> v").distinct(), "links")
-    for _ in range(rounds):
-        if not links.limit(1).count():
-            break
+    while not links.isEmpty():  # every round at least halves the labels that have links
         one = links.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("t"))
         two = links.join(one.select(F.col("u").alias("v"), "t"), "v").groupBy("u").agg(F.least(F.first("u"), F.min("t")).alias("t"))
         to, ended = written(two, "labels"), False
@@ -63,59 +59,82 @@ def pair_edges(shifts: DataFrame, least: int = 20, sigma: float = 3.0) -> DataFr
 
 
 def edge_weight(n: str = "n", mad: str = "mad"):
-    return F.sqrt(F.col(n)) / F.greatest(F.col(mad), F.lit(0.05))
+    """Weight of an edge in the normal equations."""
+    return F.sqrt(F.greatest(F.col(n), F.lit(1))) / F.greatest(F.col(mad), F.lit(0.05))
 
 
-def visit_shifts(edges: DataFrame, sharpest: float = 0.2) -> DataFrame:
-    """Per ``grp`` the node corrections ``(grp, node, dx, dy, residual_rms, is_consensus)`` that best explain its edges.
+def visit_shifts(edges: DataFrame, gauge: object = None, sharpest: float = 0.2) -> DataFrame:
+    """Per ``grp`` the node corrections ``(grp, node, dx, dy, residual_rms, gauge, is_consensus)`` that best explain its edges.
 
-    Weighted minimum-norm least squares over rows ``b - a``. ``is_consensus``: while over three
-    nodes are left, the one furthest from the rest's fit by more than
-    max(3 rms, ``sharpest``) is set aside. A group is one survey field: its nodes are its visits.
-    """
+    Weighted least squares over rows ``b - a``, each edge by ``edge_weight``; a correction is the
+    negated shift. The origin is no result of the edges: the ``gauge`` node, or each group's
+    smallest node, stays where it is (0, 0). A gauge that a group's edges do not name is an error.
+    ``residual_rms`` is the weighted rms of an axis. ``is_consensus``: while over three nodes
+    are left, the one furthest from the mean of those left by more than max(3 rms,
+    ``sharpest``) is set aside; this tells of displaced nodes only and moves none.
 
-    def fit(e: pd.DataFrame, nodes: list) -> tuple[np.ndarray, float, np.ndarray]:
+    Edges are summed up per pair of nodes first, so a group handed to one task is one row a pair of visits of a field.
+    """
+    w = edge_weight()
+    dx, dy = F.col("dx"), F.col("dy")
+    pairs = edges.filter("a <> b").groupBy("grp", "a", "b").agg(F.sum(w).alias("w"), F.sum(w * dx).alias("wx"), F.sum(w * dy).alias("wy"), F.sum(w * (dx * dx + dy * dy)).alias("ww"))
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def solve(p: pd.DataFrame) -> pd.DataFrame:
+        nodes = sorted({*p["a"], *p["b"]})
+        if gauge is not None and gauge not in nodes:
+            raise ValueError(f"gauge {gauge} is not among the nodes {nodes}")
         at = {v: i for i, v in enumerate(nodes)}
-        m = np.zeros((len(e), len(nodes)))
-        r = np.arange(len(e))
-        m[r, [at[v] for v in e["b"]]] += 1
-        m[r, [at[v] for v in e["a"]]] -= 1
-        w = (np.sqrt(e["n"]) / np.maximum(e["mad"], 0.05)).to_numpy()[:, None]
-        d = -e[["dx", "dy"]].to_numpy()
-        x = np.linalg.lstsq(m * w, d * w, rcond=None)[0]
-        res = np.hypot(*(d - m @ x).T)
-        return x, float(np.sqrt((res**2).mean())) if len(res) else 0.0, res
-
-    def solve(e: pd.DataFrame) -> pd.DataFrame:
-        e = e.sort_values(["a", "b"])
-        nodes = sorted({*e["a"], *e["b"]})
-        x, spread, _ = fit(e, nodes)
-        left = e
-        while len({*left["a"], *left["b"]}) > 3:
-            kept = sorted({*left["a"], *left["b"]})
-            _, r, res = fit(left, kept)
-            worst = {v: res[((left["a"] == v) | (left["b"] == v)).to_numpy()].mean() for v in kept}
-            v = max(kept, key=lambda k: (worst[k], k))
-            if worst[v] <= max(3 * r, sharpest):
+        a, b = p["a"].map(at).to_numpy(), p["b"].map(at).to_numpy()
+        m, r = np.zeros((len(nodes), len(nodes))), np.zeros((len(nodes), 2))
+        for i, j, sign in ((a, a, 1), (b, b, 1), (a, b, -1), (b, a, -1)):
+            np.add.at(m, (i, j), sign * p["w"].to_numpy())
+        z = p[["wx", "wy"]].to_numpy()
+        np.add.at(r, b, z)
+        np.add.at(r, a, -z)
+        t = np.linalg.pinv(m, hermitian=True) @ r
+        left = p["ww"].sum() - 2 * (t * r).sum() + (t * (m @ t)).sum()
+        rms = float(np.sqrt(max(0.0, left) / p["w"].sum() / 2))
+        stay = list(range(len(nodes)))
+        while len(stay) > 3:
+            off = np.hypot(*(t[stay] - t[stay].mean(0)).T)
+            if off.max() <= max(3 * rms, sharpest):
                 break
-            left = left[(left["a"] != v) & (left["b"] != v)]
-        stay = {*left["a"], *left["b"]}
-        return pd.DataFrame({"grp": e["grp"].iloc[0], "node": nodes, "dx": x[:, 0], "dy": x[:, 1], "residual_rms": spread, "is_consensus": [v in stay for v in nodes]})
+            stay.pop(int(off.argmax()))
+        pinned = nodes[0] if gauge is None else gauge
+        t = t[at[pinned]] - t
+        return pd.DataFrame({"grp": p["grp"].iloc[0], "node": nodes, "dx": t[:, 0], "dy": t[:, 1], "residual_rms": rms, "gauge": pinned, "is_consensus": [i in stay for i in range(len(nodes))]})
 
-    return edges.groupBy("grp").applyInPandas(solve, "grp string, node string, dx double, dy double, residual_rms double, is_consensus boolean")
+    return pairs.groupBy("grp").applyInPandas(solve, f"grp string, node {kind}, dx double, dy double, residual_rms double, gauge {kind}, is_consensus boolean")
 
 
-def brightest_separated(stars: DataFrame, separation: float, most: int = 600) -> DataFrame:
-    """Of each group's ``most`` brightest ``(grp, id, x, y, flux)``: those with no brighter accepted one closer than ``separation``."""
-    w = Window.partitionBy("grp").orderBy(F.desc("flux"), "id")
-    top = stars.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+def brightest_separated(stars: DataFrame, separation: float, count: int | None = None) -> DataFrame:
+    """``(grp, id, x, y, flux)`` of each group's stars, brightest first, that have no brighter accepted one closer than ``separation``; the first ``count`` of them.
 
-    def accept(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = pd.concat(list(parts)).sort_values("rank")
-        xy, taken = p[["x", "y"]].to_numpy(), []
-        for i in range(len(p)):
-            if not taken or (((xy[taken] - xy[i]) ** 2).sum(1) >= separation * separation).all():
-                taken.append(i)
-        yield p.iloc[taken][["grp", "id", "x", "y", "flux"]]
-
-    return top.groupBy("grp").applyInPandas(accept, "grp string, id bigint, x double, y double, flux double")
+    Equally bright stars go by id. The walk down the brightness order is a fixed point over close pairs, found round
+    by round: a star is accepted once all brighter neighbours are refused, and refuses its own. No
+    group is gathered; neighbours are equi-joins on cells as wide as the separation.
+    """
+    cell = lambda c: F.floor(F.col(c) / F.lit(separation)).cast("bigint")
+    s = written(stars.filter("flux IS NOT NULL").select("grp", "id", "x", "y", "flux").dropDuplicates(["grp", "id"]), "stars")
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    a = s.select("grp", F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("flux").alias("af"), cell("x").alias("cx"), cell("y").alias("cy"))
+    b = s.select("grp", F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("y_"), F.col("flux").alias("bf"), cell("x").alias("bcx"), cell("y").alias("bcy"), F.explode(around).alias("o"))
+    b = b.withColumn("cx", F.col("bcx") + F.col("o.i")).withColumn("cy", F.col("bcy") + F.col("o.j"))
+    brighter = (F.col("bf") > F.col("af")) | ((F.col("bf") == F.col("af")) & (F.col("b") < F.col("a")))
+    d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("y_")) * (F.col("ay") - F.col("y_"))
+    open_ = written(a.join(b, ["grp", "cx", "cy"]).filter((F.col("a") != F.col("b")) & brighter & (d2 < separation * separation)).select("grp", "a", "b"), "close")
+    refused = None
+    while not open_.isEmpty():
+        # brighter stars that nothing refuses any more
+        waiting = open_.select("grp", "a").distinct()
+        sure = open_.join(waiting.withColumnRenamed("a", "b"), ["grp", "b"], "left_anti")
+        out = written(sure.select("grp", "a").distinct(), "refused")
+        refused = out if refused is None else refused.unionByName(out)
+        rest = open_.join(out, ["grp", "a"], "left_anti").join(out.withColumnRenamed("a", "b"), ["grp", "b"], "left_anti")
+        open_ = written(rest, "close")
+    kept = s if refused is None else s.join(refused.withColumnRenamed("a", "id"), ["grp", "id"], "left_anti")
+    if count is None:
+        return kept
+    w = Window.partitionBy("grp").orderBy(F.desc("flux"), "id")
+    return kept.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= count).drop("rank")

@@ -239,10 +239,27 @@ def topk_flux(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("rank", F.row_number().over(w)).filter("rank <= 400").select("filter_name", "star_id", "flux", "rank")
 
 
-@query()
+_BRIGHT = """stars AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM star_fits WHERE isfinite(x) AND isfinite(y) AND mosaic_key IS NOT NULL AND isfinite(flux)),
+c AS (SELECT mosaic_key AS grp, star_id AS id, x, y, flux, CAST(floor(x / 12) AS BIGINT) AS cx, CAST(floor(y / 12) AS BIGINT) AS cy FROM stars),
+n1 AS (SELECT *, unnest([-1, 0, 1]) AS ox FROM c), n2 AS (SELECT *, unnest([-1, 0, 1]) AS oy FROM n1),
+e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM c a JOIN n2 b ON a.grp = b.grp AND a.cx = b.cx + b.ox AND a.cy = b.cy + b.oy WHERE a.id <> b.id AND (b.flux > a.flux OR (b.flux = a.flux AND b.id < a.id))
+  AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) < 144.0)"""
+
+
+def _bright_sql(rounds: int = 12) -> str:
+    """Rounds of: stars all of whose brighter neighbours are refused are accepted, and refuse theirs."""
+    out = ["WITH " + _BRIGHT, "r0 AS (SELECT a FROM e WHERE false)", "e0 AS (SELECT * FROM e)"]
+    for k in range(rounds):
+        out.append(f"x{k + 1} AS MATERIALIZED (SELECT DISTINCT a FROM e{k} WHERE b NOT IN (SELECT a FROM e{k}))")
+        out.append(f"r{k + 1} AS (SELECT a FROM r{k} UNION ALL SELECT a FROM x{k + 1})")
+        out.append(f"e{k + 1} AS MATERIALIZED (SELECT * FROM e{k} WHERE a NOT IN (SELECT a FROM x{k + 1}) AND b NOT IN (SELECT a FROM x{k + 1}))")
+    return ",\n".join(out) + f"\nSELECT grp, id, x, y, flux FROM c WHERE id NOT IN (SELECT a FROM r{rounds}) QUALIFY row_number() OVER (PARTITION BY grp ORDER BY flux DESC, id) <= 600"
+
+
+@query(_bright_sql())
 def bright_separated(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stars(spark, sf_dir, "flux").select(F.col("mosaic_key").alias("grp"), F.col("star_id").alias("id"), "x", "y", robust.finite(F.col("flux")).alias("flux")).filter("flux IS NOT NULL")
-    return graphs.brightest_separated(s, 12.0)
+    return graphs.brightest_separated(s, 12.0, 600)
 
 
 # -- registrations, gauges and visit graphs -------------------------------------------------------------
@@ -348,16 +365,42 @@ def edge_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("grp", "a", "b", "n", F.round("dx", 9).alias("dx"), F.round("dy", 9).alias("dy"), F.round("mad", 9).alias("mad"))
 
 
-@query(_EDGES + """, h AS (SELECT grp, a AS node, b AS other, -1.0 AS s, n, dx, dy, mad FROM ed UNION ALL SELECT grp, b, a, 1.0, n, dx, dy, mad FROM ed)
-SELECT grp, node, round(sum(n / power(greatest(mad, 0.05), 2)), 6) AS w, round(sum(s * dx * n / power(greatest(mad, 0.05), 2)), 6) AS wdx, round(sum(s * dy * n / power(greatest(mad, 0.05), 2)), 6) AS wdy FROM h GROUP BY grp, node""")
+_VISITS = """, z AS (SELECT grp, CAST(regexp_extract(a, '_v([0-9]+)_', 1) AS INTEGER) AS a, CAST(regexp_extract(b, '_v([0-9]+)_', 1) AS INTEGER) AS b, sqrt(greatest(n, 1)) / greatest(mad, 0.05) AS w, dx, dy FROM ed)"""
+
+
+def _visit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges between the groups of two visits, with the visits as ends."""
+    e = graphs.pair_edges(_visit_differences(spark, sf_dir))
+    visit = lambda c: F.regexp_extract(c, "_v([0-9]+)_", 1).cast("int").alias(c)
+    return e.select("grp", visit("a"), visit("b"), "n", "dx", "dy", "mad")
+
+
+@query(_EDGES + _VISITS + """, h AS (SELECT grp, a AS node, -1.0 AS s, w, dx, dy FROM z UNION ALL SELECT grp, b, 1.0, w, dx, dy FROM z)
+SELECT grp, node, round(sum(w), 6) AS w, round(sum(s * dx * w), 6) AS wdx, round(sum(s * dy * w), 6) AS wdy FROM h GROUP BY grp, node""")
 def visit_normal_eq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagonal and right-hand side of the visit graph's normal equations."""
-    e = graphs.pair_edges(_visit_differences(spark, sf_dir))
+    e = _visit_edges(spark, sf_dir)
     h = e.select("grp", F.col("a").alias("node"), F.lit(-1.0).alias("s"), "n", "dx", "dy", "mad").unionAll(e.select("grp", "b", F.lit(1.0), "n", "dx", "dy", "mad"))
-    w = graphs.edge_weight() * graphs.edge_weight()
+    w = graphs.edge_weight()
     return h.groupBy("grp", "node").agg(F.round(F.sum(w), 6).alias("w"), F.round(F.sum(F.col("s") * F.col("dx") * w), 6).alias("wdx"), F.round(F.sum(F.col("s") * F.col("dy") * w), 6).alias("wdy"))
 
 
-@query()
+# two or three visits a field: Cramer's rule for the visits besides the smallest, which is pinned
+@query(_EDGES + _VISITS + """, o AS (SELECT grp, least(a, b) AS a, greatest(a, b) AS b, w, CASE WHEN a < b THEN dx ELSE -dx END AS dx, CASE WHEN a < b THEN dy ELSE -dy END AS dy FROM z),
+vs AS (SELECT grp, list_sort(list(DISTINCT v)) AS v FROM (SELECT grp, a AS v FROM o UNION ALL SELECT grp, b FROM o) GROUP BY grp),
+vsum AS (SELECT grp, v, sum(w) AS sw, sum(w * (dx * dx + dy * dy)) AS ww,
+  coalesce(sum(w) FILTER (a = v[1] AND b = v[2]), 0) AS w12, coalesce(sum(w) FILTER (a = v[1] AND b = v[3]), 0) AS w13, coalesce(sum(w) FILTER (a = v[2] AND b = v[3]), 0) AS w23,
+  coalesce(sum(w * dx) FILTER (a = v[1] AND b = v[2]), 0) AS x12, coalesce(sum(w * dx) FILTER (a = v[1] AND b = v[3]), 0) AS x13, coalesce(sum(w * dx) FILTER (a = v[2] AND b = v[3]), 0) AS x23,
+  coalesce(sum(w * dy) FILTER (a = v[1] AND b = v[2]), 0) AS y12, coalesce(sum(w * dy) FILTER (a = v[1] AND b = v[3]), 0) AS y13, coalesce(sum(w * dy) FILTER (a = v[2] AND b = v[3]), 0) AS y23
+  FROM o JOIN vs USING (grp) GROUP BY grp, v),
+vdet AS (SELECT *, CASE WHEN len(v) = 2 THEN w12 ELSE (w12 + w23) * (w13 + w23) - w23 * w23 END AS det FROM vsum),
+vt AS (SELECT *, CASE WHEN len(v) = 2 THEN x12 / det ELSE ((x12 - x23) * (w13 + w23) + w23 * (x13 + x23)) / det END AS tx2, CASE WHEN len(v) = 2 THEN y12 / det ELSE ((y12 - y23) * (w13 + w23) + w23 * (y13 + y23)) / det END AS ty2,
+  CASE WHEN len(v) = 3 THEN ((w12 + w23) * (x13 + x23) + w23 * (x12 - x23)) / det ELSE 0 END AS tx3, CASE WHEN len(v) = 3 THEN ((w12 + w23) * (y13 + y23) + w23 * (y12 - y23)) / det ELSE 0 END AS ty3 FROM vdet),
+vr AS (SELECT *, sqrt(greatest(ww - 2 * (tx2 * x12 + ty2 * y12 + tx3 * x13 + ty3 * y13 + (tx3 - tx2) * x23 + (ty3 - ty2) * y23) + w12 * (tx2 * tx2 + ty2 * ty2) + w13 * (tx3 * tx3 + ty3 * ty3)
+  + w23 * ((tx3 - tx2) * (tx3 - tx2) + (ty3 - ty2) * (ty3 - ty2)), 0) / sw / 2) AS rms FROM vt)
+SELECT grp, v[k] AS node, round(CASE k WHEN 1 THEN 0 WHEN 2 THEN tx2 ELSE tx3 END, 6) + 0 AS dx, round(CASE k WHEN 1 THEN 0 WHEN 2 THEN ty2 ELSE ty3 END, 6) + 0 AS dy, round(rms, 6) AS residual_rms, v[1] AS gauge, true AS is_consensus
+FROM (SELECT *, unnest(range(1, len(v) + 1)) AS k FROM vr)""")
 def visit_solve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graphs.visit_shifts(graphs.pair_edges(_visit_differences(spark, sf_dir)))
+    """The shift of each visit of a field from its smallest visit: the correction negated."""
+    t = graphs.visit_shifts(_visit_edges(spark, sf_dir))
+    return t.withColumns({"dx": F.round(-F.col("dx"), 6) + F.lit(0.0), "dy": F.round(-F.col("dy"), 6) + F.lit(0.0), "residual_rms": F.round("residual_rms", 6)})

@@ -220,3 +220,45 @@ def test_listing_and_manifest(spark, tmp_path):
     rows = spark.createDataFrame([("a,b", 1), ('quo"te', None)], "name string, size bigint")
     files.write_manifest(rows, str(tmp_path / "m"))
     assert sorted(map(tuple, files.read_manifest(spark, str(tmp_path / "m"), "name string, size bigint").collect())) == [("a,b", 1), ('quo"te', None)]
+
+
+SHIFTS = {1: (-0.49, -0.65), 2: (0.12, 0.04), 3: (0.07, 0.23), 4: (0.18, 0.22)}
+
+
+def solved(spark, pairs, n=200, **how):
+    rows = [("f", a, b, n, SHIFTS[b][0] - SHIFTS[a][0], SHIFTS[b][1] - SHIFTS[a][1], 0.06) for a, b in pairs]
+    return graphs.visit_shifts(spark.createDataFrame(rows, "grp string, a int, b int, n int, dx double, dy double, mad double"), **how).orderBy("node").collect()
+
+
+def test_the_gauge_visit_stays_and_consensus_is_a_diagnosis(spark):
+    got = solved(spark, [(2, 1), (3, 1), (4, 1)] * 2)
+    assert [r["is_consensus"] for r in got] == [False, True, True, True] and {r["gauge"] for r in got} == {1}
+    assert (got[0]["dx"], got[0]["dy"]) == (0.0, 0.0) and max(r["residual_rms"] for r in got) < 1e-6
+    for r in got:
+        assert r["dx"] == pytest.approx(SHIFTS[1][0] - SHIFTS[r["node"]][0]) and r["dy"] == pytest.approx(SHIFTS[1][1] - SHIFTS[r["node"]][1])
+    third = solved(spark, [(1, 2), (2, 3), (3, 4)], gauge=3)
+    assert third[2]["dx"] == 0.0 and third[0]["dx"] == pytest.approx(SHIFTS[3][0] - SHIFTS[1][0])
+    with pytest.raises(Exception, match="not among the nodes"):
+        solved(spark, [(1, 2)], gauge=7)
+
+
+def test_edges_weigh_by_root_n_over_scatter(spark):
+    rows = [("f", 1, 2, 400, 1.0, 0.0, 0.1), ("f", 1, 2, 100, 4.0, 0.0, 0.2), ("f", 1, 2, 0, 2.0, 0.0, 0.0)]
+    got = graphs.visit_shifts(spark.createDataFrame(rows, "grp string, a int, b int, n int, dx double, dy double, mad double")).filter("node = 2").first()
+    w, z = np.array([200.0, 50.0, 20.0]), np.array([1.0, 4.0, 2.0])
+    t = (w * z).sum() / w.sum()
+    assert got["dx"] == pytest.approx(-t) and got["residual_rms"] == pytest.approx(math.sqrt((w * (t - z) ** 2).sum() / w.sum() / 2))
+
+
+def test_brightest_separated_walks_the_whole_order(spark):
+    # 900 bright stars in one spot come before the distant ones
+    rng = np.random.default_rng(5)
+    rows = [("g", i, float(x), float(y), float(f)) for i, (x, y, f) in enumerate(zip(rng.uniform(0, 40, 900), rng.uniform(0, 40, 900), rng.integers(500, 900, 900)))]
+    rows += [("g", 1_000 + k, 1_000.0 + 50 * k, 0.0, 1.0) for k in range(30)]
+    taken = []
+    for r in sorted(rows, key=lambda r: (-r[4], r[1])):
+        if all(math.hypot(r[2] - t[2], r[3] - t[3]) >= 6.0 for t in taken):
+            taken.append(r)
+    df = spark.createDataFrame(rows + rows[:9], "grp string, id bigint, x double, y double, flux double")
+    assert {r["id"] for r in graphs.brightest_separated(df, 6.0).collect()} == {t[1] for t in taken}
+    assert {r["id"] for r in graphs.brightest_separated(df, 6.0, 12).collect()} == {t[1] for t in taken[:12]}
