@@ -8,8 +8,6 @@ gather no group; a whole column, ``whole_percentiles``.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,70 +63,109 @@ def stacked(df: DataFrame, keys: list[str], value: str, sigma: float = 3.0, roun
 SMALL_GROUP = 100_000
 
 
-def group_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int = 10_000) -> DataFrame:
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on &= a[k].eqNullSafe(b[f"_{k}"])
+    return on
+
+
+def by_size(df: DataFrame, keys: list[str], most: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """``df``'s rows of groups of at most ``most`` rows, which a task may hold, and those of the larger groups (None where there are none). A group with a null key counts as small."""
+    known = F.lit(True)
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    large = written(df.filter(known).groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > (most or SMALL_GROUP)).select(*[F.col(k).alias(f"_{k}") for k in keys]), "large")
+    if large.isEmpty():
+        return df, None
+    return df.join(large, _same(df, large, keys), "left_anti"), df.join(large, _same(df, large, keys), "left_semi")
+
+
+def group_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int = 10_000, most: int | None = None) -> DataFrame:
     """Per group exact, linearly interpolated percentiles: ``wanted`` maps a name to (column, percentile).
 
-    Sketches, combined before the shuffle, bracket each percentile's rank in groups of over
-    ``SMALL_GROUP`` values; values under the bracket are counted, and only those inside
-    it are ordered. Null and NaN are left out; a group without a value has none.
+    Groups of up to ``most`` rows are one aggregate. In larger ones sketches, combined before the
+    shuffle, bracket each percentile's rank, again inside the bracket until it holds at most ``most``
+    values; only these are ordered. Null and NaN are left out; a group without a value has none.
     """
-    names = list(wanted)
+    value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    small, large = by_size(df, keys, most)
+    out = small.groupBy(*keys).agg(*[F.percentile(value(c), F.lit(p)).alias(name) for name, (c, p) in wanted.items()]).dropna("all", subset=list(wanted))
+    return out if large is None else out.unionByName(_large_percentiles(large, keys, wanted, accuracy, most or SMALL_GROUP))
+
+
+def _large_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int, most: int) -> DataFrame:
+    names, w = list(wanted), [*keys, "w"]
     of = F.array(*[F.struct(F.lit(i).alias("w"), F.col(c).cast("double").alias("v")) for i, (c, _) in enumerate(wanted.values())])
-    long = df.select(*keys, F.explode(of).alias("e")).select(*keys, "e.w", "e.v").filter("v IS NOT NULL AND NOT isnan(v)")
-    margin = 4.0 / accuracy
-    ends = [x for _, p in wanted.values() for x in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = long.groupBy(*keys, "w").agg(F.count("*").alias("n"), F.percentile_approx("v", ends, accuracy).alias("q"))
-    big = F.col("n") > SMALL_GROUP
-    limits = sketch.select(
-        *keys, "w", "n", F.when(big, F.get("q", 2 * F.col("w"))).otherwise(float("-inf")).alias("lo"), F.when(big, F.get("q", 2 * F.col("w") + 1)).otherwise(float("inf")).alias("hi"),
-        (F.get(F.array(*[F.lit(p) for _, p in wanted.values()]), F.col("w")) * (F.col("n") - 1)).alias("rank"),
-    )
-    near = long.join(limits, [*keys, "w"])
-    outside = near.groupBy(*keys, "w").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"), F.min(F.when(F.col("v") > F.col("hi"), F.col("v"))).alias("above"), F.first("rank").alias("rank"))
-    inside = near.filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(*keys, "w", "v").count()
-    run = inside.withColumn("upto", F.sum("count").over(Window.partitionBy(*keys, "w").orderBy("v"))).join(outside, [*keys, "w"])
-    at, first = F.col("upto") + F.col("below"), F.floor("rank")
-    got = run.groupBy(*keys, "w").agg(F.min(F.when(at > first, F.col("v"))).alias("a"), F.min(F.when(at > F.ceil("rank"), F.col("v"))).alias("b"), F.first("above").alias("above"), F.first("rank").alias("rank"))
-    value = F.col("a") + (F.coalesce("b", "above") - F.col("a")) * (F.col("rank") - F.floor("rank"))
+    long = written(df.select(*keys, F.explode(of).alias("e")).select(*keys, "e.w", "e.v").filter("v IS NOT NULL AND NOT isnan(v)"), "values")
+    rank = F.get(F.array(*[F.lit(p) for _, p in wanted.values()]), F.col("w")) * (F.col("n") - 1)
+    at = written(long.groupBy(*w).agg(F.count("*").alias("n")).select(*w, rank.alias("rank"), F.col("n").alias("inside"), F.lit(0).cast("bigint").alias("below"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi")), "ranks")
+    steps = 64
+    while True:
+        wide = at.filter((F.col("inside") > most) & (F.col("lo") < F.col("hi")))
+        if wide.isEmpty():
+            break
+        held = long.join(wide.select(*w, "lo", "hi"), w).filter(F.col("v").between(F.col("lo"), F.col("hi")))
+        sketch = held.groupBy(*w).agg(F.percentile_approx("v", [k / steps for k in range(steps + 1)], accuracy).alias("q"))
+        # the narrowest pair of sketched values that surely has both neighbours of the rank between them
+        near = (F.col("rank") - F.col("below")) / F.col("inside") * steps
+        lo, hi = F.get("q", F.greatest(F.lit(0), F.floor(near) - 1).cast("int")), F.get("q", F.least(F.lit(steps), F.ceil(near) + 1).cast("int"))
+        cut = wide.join(sketch, w).select(*w, lo.alias("l"), hi.alias("h"))
+        counted = long.join(cut, w).groupBy(*w).agg(F.count_if(F.col("v") < F.col("l")).alias("b"), F.count_if(F.col("v").between(F.col("l"), F.col("h"))).alias("i"), F.first("l").alias("l"), F.first("h").alias("h"))
+        # kept only where both neighbours are inside: a sketch may be off
+        sure = (F.col("b") <= F.floor("rank")) & (F.ceil("rank") < F.col("b") + F.col("i")) & (F.col("i") < F.col("inside"))
+        new = at.join(counted, w, "left").withColumn("ok", F.coalesce(sure, F.lit(False)))
+        pick = lambda a, b: F.when(F.col("ok"), F.col(a)).otherwise(F.col(b))
+        moved = written(new.select(*w, "rank", pick("i", "inside").alias("inside"), pick("b", "below").alias("below"), pick("l", "lo").alias("lo"), pick("h", "hi").alias("hi"), "ok"), "ranks")
+        done = not moved.filter("ok").limit(1).count()
+        at = moved.drop("ok")
+        if done:  # nothing narrows any more: many equal values
+            break
+    counts = long.join(at, w).filter(F.col("v").between(F.col("lo"), F.col("hi"))).groupBy(*w, "v").agg(F.count("*").alias("c"), F.first("rank").alias("rank"), F.first("below").alias("below"))
+    run = counts.withColumn("upto", F.sum("c").over(Window.partitionBy(*w).orderBy("v")) + F.col("below"))
+    got = run.groupBy(*w).agg(F.min(F.when(F.col("upto") > F.floor("rank"), F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > F.ceil("rank"), F.col("v"))).alias("b"), F.first("rank").alias("rank"))
+    value = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))
     return got.groupBy(*keys).agg(*[F.max(F.when(F.col("w") == i, value)).alias(name) for i, name in enumerate(names)])
 
 
-def clipped_large(df: DataFrame, keys: list[str], value: str, sigma: float, rounds: int, least: int = 3) -> DataFrame:
-    """As ``clipped`` with ``width="std"``, for groups of any size: written once, each round only adds a small table of bounds."""
-    base = written(df, "clip")
+def clipped_large(df: DataFrame, keys: list[str], value: str, sigma: float, rounds: int, least: int = 3, most: int | None = None) -> DataFrame:
+    """As ``clipped`` with ``width="std"``, for groups of any size: those of over ``most`` rows are written once, and each round only adds a small table of bounds."""
+    small, large = by_size(df, keys, most)
+    out = clipped(small, keys, value, sigma, rounds, "std", least)
+    if large is None:
+        return out
+    base = written(large, "clip")
     n = base.groupBy(*keys).agg(F.count(value).alias("_n"))
     bounds = n.select(*keys, "_n", F.lit(float("-inf")).alias("_lo"), F.lit(float("inf")).alias("_hi"))
     kept = F.when((F.col("_n") < least) | F.col(value).between(F.col("_lo"), F.col("_hi")), F.col(value))
     for _ in range(rounds):
         now = base.join(bounds, keys).withColumn("_kept", kept)
         s = now.groupBy(*keys).agg(F.stddev_pop("_kept").alias("_s"))
-        c = group_percentiles(now, keys, {"_c": ("_kept", 0.5)})
+        c = _large_percentiles(now, keys, {"_c": ("_kept", 0.5)}, 10_000, most or SMALL_GROUP)
         lo, hi = F.col("_c") - sigma * F.col("_s"), F.col("_c") + sigma * F.col("_s")
         bounds = written(bounds.join(s, keys, "left").join(c, keys, "left").select(*keys, "_n", F.greatest("_lo", lo).alias("_lo"), F.least("_hi", hi).alias("_hi")), "bounds")
-    return base.join(bounds, keys).withColumn("_kept", kept).drop("_lo", "_hi")
+    return out.unionByName(base.join(bounds, keys).withColumn("_kept", kept).drop("_lo", "_hi"))
+
+
+def whole_percentiles(df: DataFrame, value: str, at: list[float], accuracy: int = 10_000, most: int | None = None) -> list[float | None]:
+    """Exact, linearly interpolated percentiles of a whole column without gathering it: as of one group of any size."""
+    v = df.select(F.lit(0).alias("k"), finite(F.col(value).cast("double")).alias("v")).filter("v IS NOT NULL")
+    found = group_percentiles(v, ["k"], {f"p{i}": ("v", p) for i, p in enumerate(at)}, accuracy, most).first()
+    return [None if found is None else found[f"p{i}"] for i in range(len(at))]
 
 
-def whole_percentiles(df: DataFrame, value: str, at: list[float], accuracy: int = 10_000) -> list[float | None]:
-    """Exact, linearly interpolated percentiles of a whole column without gathering it.
+def numbered(df: DataFrame, keys: list[str], order: str, most: int | None = None) -> DataFrame:
+    """``_i``, each row's place in its group by the number ``order`` (from 0; equal ones in any order), and ``_n``, the group's rows.
 
-    A sketch brackets each rank; the rows under the bracket are counted, and the two
-    neighbours of the rank are taken from the few distinct values inside it.
+    Groups of over ``most`` rows are cut by sketched quantiles; rows are numbered in their slab, slabs by running counts.
     """
-    v = df.select(finite(F.col(value).cast("double")).alias("v")).filter("v IS NOT NULL")
-    n = v.count()
-    out: list[float | None] = []
-    for p in at:
-        if not n:
-            out.append(None)
-            continue
-        rank = p * (n - 1)
-        eps = max(4.0 / accuracy, 3.0 / n)
-        lo, hi = v.agg(F.percentile_approx("v", [max(0.0, p - eps), min(1.0, p + eps)], accuracy)).first()[0]
-        below = v.filter(F.col("v") < lo).count()
-        counts = v.filter(F.col("v").between(lo, hi)).groupBy("v").count()
-        run = counts.withColumn("upto", F.sum("count").over(Window.orderBy("v")) + below)
-        first, last = math.floor(rank), min(math.floor(rank) + 1, n - 1)
-        got = run.filter(F.col("upto") > first).agg(F.min("v").alias("a"), F.min(F.when(F.col("upto") > last, F.col("v"))).alias("b")).first()
-        b = got["b"] if got["b"] is not None else v.filter(F.col("v") > hi).agg(F.min("v")).first()[0]
-        out.append(got["a"] + (b - got["a"]) * (rank - first))
-    return out
+    few = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx(order, [k / 512 for k in range(1, 512)], 10_000).alias("_q"))
+    few = few.select(*[F.col(k).alias(f"_{k}") for k in keys], "_n", F.when(F.col("_n") > (most or SMALL_GROUP), F.array_distinct("_q")).alias("_q"))
+    slab = F.coalesce(F.size(F.filter("_q", lambda c: c < F.col(order))), F.lit(0))
+    at = df.join(few, _same(df, few, keys)).withColumn("_slab", slab).drop("_q", *[f"_{k}" for k in keys])
+    counts = at.groupBy(*keys, "_slab").agg(F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_slab").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_slab").alias("_s"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    at = at.join(counts, _same(at, counts, keys) & (at["_slab"] == counts["_s"]))
+    place = F.row_number().over(Window.partitionBy(*keys, "_slab").orderBy(order)) - 1 + F.col("_before")
+    return at.withColumn("_i", place).drop("_slab", "_s", "_before", *[f"_{k}" for k in keys])

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.functions import robust
+
 BAND = 64
 _POLE = 3**0.5 - 2  # of the cubic B-spline's inverse filter
 _REACH = 12  # taps on either side; the filter has fallen to 1e-7 there
@@ -35,7 +37,7 @@ def local_peaks(image: DataFrame, half: int = 5, percent: float = 0.99, most: in
     The square's maximum is taken along rows, then along columns, so a pixel is
     copied 2 x (2 half + 1) times instead of (2 half + 1) squared.
     """
-    high = image.groupBy("grp").agg(F.percentile("v", percent).alias("limit"))
+    high = robust.group_percentiles(image, ["grp"], {"limit": ("v", percent)})
     offsets = F.explode(F.sequence(F.lit(-half), F.lit(half)))
     rows = image.withColumn("o", offsets).groupBy("grp", "y", (F.col("x") + F.col("o")).alias("x")).agg(F.max("v").alias("m"))
     square = rows.withColumn("o", offsets).groupBy("grp", (F.col("y") + F.col("o")).alias("y"), "x").agg(F.max("m").alias("m"))

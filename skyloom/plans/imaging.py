@@ -64,11 +64,14 @@ def local_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.local_peaks(image(spark, sf_dir).drop("rows", "cols"))
 
 
+def _shifts(im: DataFrame) -> DataFrame:
+    return robust.group_percentiles(im, ["grp"], {"background": ("v", 0.5)}).select("grp", F.lit(0.37).alias("dx"), F.lit(-0.61).alias("dy"), "background")
+
+
 @query()
 def cubic_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     im = image(spark, sf_dir)
-    shifts = im.groupBy("grp").agg(F.lit(0.37).alias("dx"), F.lit(-0.61).alias("dy"), F.median("v").alias("background"))
-    return images.cubic_shift(im, shifts)
+    return images.cubic_shift(im, _shifts(im))
 
 
 # -- the same over whole mosaics: pixels may be negative ----------------------------------------------------
@@ -120,7 +123,7 @@ def local_max_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cubic_shift_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     def shifted(im: DataFrame) -> DataFrame:
-        return images.cubic_shift(im, im.groupBy("grp").agg(F.lit(0.37).alias("dx"), F.lit(-0.61).alias("dy"), F.median("v").alias("background")))
+        return images.cubic_shift(im, _shifts(im))
 
     return _mosaic_cells(spark, sf_dir, shifted)
 
@@ -159,7 +162,7 @@ SELECT star_id, round(least(greatest(asinh((flux - (lo + hi) / 2) / (greatest(hi
 def display_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each star's flux on its own mosaic's display scale: asinh about the centre of its percentiles."""
     s = stars(spark, sf_dir, "flux").select("star_id", "mosaic_key", robust.finite(F.col("flux")).alias("flux")).filter("flux IS NOT NULL")
-    lim = s.groupBy("mosaic_key").agg(F.percentile("flux", 0.01).alias("lo"), F.percentile("flux", 0.995).alias("hi"))
+    lim = robust.group_percentiles(s, ["mosaic_key"], {"lo": ("flux", 0.01), "hi": ("flux", 0.995)})
     y = F.asinh((F.col("flux") - (F.col("lo") + F.col("hi")) / 2) / (F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-12)) / 2))
     return s.join(lim, "mosaic_key").select("star_id", F.round(F.least(F.greatest(y, F.lit(-1.0)), F.lit(1.0)), 9).alias("shown"))
 
@@ -439,9 +442,8 @@ SELECT mosaic_key, star_id, flux FROM n WHERE i % greatest(1, n // 200) = 0""")
 def strided_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every k-th star of a mosaic in id order, k = max(1, stars // 200): a sampling operator."""
     s = stars(spark, sf_dir, "flux").select("mosaic_key", "star_id", robust.finite(F.col("flux")).alias("flux")).filter("flux IS NOT NULL")
-    w = Window.partitionBy("mosaic_key")
-    s = s.withColumn("i", F.row_number().over(w.orderBy("star_id")) - 1).withColumn("n", F.count("*").over(w))
-    return s.filter(F.expr("i % greatest(1, n div 200) = 0")).select("mosaic_key", "star_id", "flux")
+    s = robust.numbered(s, ["mosaic_key"], "star_id")
+    return s.filter(F.expr("_i % greatest(1, _n div 200) = 0")).select("mosaic_key", "star_id", "flux")
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

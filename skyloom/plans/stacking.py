@@ -93,10 +93,10 @@ def mad_clip_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH regs AS (SELECT DISTINCT * EXCLUDE (loaded_at) FROM frame_registrations), src AS (SELECT group_key, CASE WHEN isfinite(background_offset) THEN background_offset END AS v FROM regs),
-{clip_sql("src", "group_key", "3.0", 5, "std")} SELECT group_key, count(k) AS kept, median(k) AS background FROM c5 GROUP BY group_key""")
+{clip_sql("src", "group_key", "3.0", 3, "std")} SELECT group_key, count(k) AS kept, median(k) AS background FROM c3 GROUP BY group_key""")
 def background_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "frame_registrations").select("reg_id", "group_key", "background_offset").distinct().select("group_key", robust.finite(F.col("background_offset")).alias("v"))
-    return robust.clipped(rows, ["group_key"], "v", 3.0, 5, "std").groupBy("group_key").agg(F.count("_kept").alias("kept"), F.median("_kept").alias("background"))
+    return robust.clipped(rows, ["group_key"], "v", 3.0, 3, "std").groupBy("group_key").agg(F.count("_kept").alias("kept"), F.median("_kept").alias("background"))
 
 
 @query(f"""WITH {STARS_SQL}, src AS (SELECT mosaic_key, CASE WHEN isfinite(fwhm_px) THEN fwhm_px END AS v, axis_ratio FROM stars), {clip_sql("src", "mosaic_key", "3.0", 3, "std", 4)},

@@ -262,3 +262,27 @@ def test_brightest_separated_walks_the_whole_order(spark):
     df = spark.createDataFrame(rows + rows[:9], "grp string, id bigint, x double, y double, flux double")
     assert {r["id"] for r in graphs.brightest_separated(df, 6.0).collect()} == {t[1] for t in taken}
     assert {r["id"] for r in graphs.brightest_separated(df, 6.0, 12).collect()} == {t[1] for t in taken[:12]}
+
+
+def test_percentiles_of_groups_of_any_size(spark):
+    rng = np.random.default_rng(2)
+    rows = [("big", float(v)) for v in rng.normal(size=4_000).round(2)] + [("same", 3.0)] * 900 + [("small", float(k)) for k in range(7)] + [(None, 1.0), (None, 4.0), ("small", None), ("small", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    wanted = {"lo": ("v", 0.01), "mid": ("v", 0.5), "hi": ("v", 0.995)}
+    for most in (100_000, 200):
+        got = {r["g"]: (r["lo"], r["mid"], r["hi"]) for r in robust.group_percentiles(df, ["g"], wanted, most=most).collect()}
+        for g in ("big", "same", "small", None):
+            v = [x for k, x in rows if k == g and x is not None and x == x]
+            assert got[g] == pytest.approx(tuple(np.percentile(v, [1, 50, 99.5])))
+    v = [x for _, x in rows if x is not None and x == x]
+    assert robust.whole_percentiles(df, "v", [0.1, 0.9], most=300) == pytest.approx(list(np.percentile(v, [10, 90])))
+    cut = {most: sorted((r["g"] or "", r["v"], r["_kept"] or 0.0) for r in robust.clipped_large(df.filter("v IS NOT NULL AND NOT isnan(v)"), ["g"], "v", 1.5, 3, most=most).collect()) for most in (100_000, 200)}
+    assert cut[200] == cut[100_000]
+
+
+def test_rows_are_numbered_in_groups_of_any_size(spark):
+    df = spark.createDataFrame([(k % 3, k * 7 % 5_003) for k in range(5_003)], "g int, id int")
+    got = robust.numbered(df, ["g"], "id", most=100).collect()
+    for g in range(3):
+        own = sorted((r["id"], r["_i"], r["_n"]) for r in got if r["g"] == g)
+        assert [x[1] for x in own] == list(range(len(own))) and {x[2] for x in own} == {len(own)}
