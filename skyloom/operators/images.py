@@ -31,17 +31,54 @@ def bilinear(image: DataFrame, dy: float, dx: float) -> DataFrame:
     return e.groupBy("grp", "y", "x").agg(F.sum("wv").alias("v"), F.count("*").alias("n")).filter("n = 4").drop("n")
 
 
+def moved(frames: DataFrame, shifts: DataFrame) -> DataFrame:
+    """Each frame's image ``(grp, frame, y, x, v)`` moved by its own ``(grp, frame, sy, sx)`` onto the common pixels, bilinearly.
+
+    A sample that touches a missing pixel is missing; frames without a shift are left out.
+    """
+    part = lambda c: (-F.col(c) - F.floor(-F.col(c)))
+    s = shifts.select("grp", "frame", F.floor(-F.col("sy")).cast("bigint").alias("oy"), F.floor(-F.col("sx")).cast("bigint").alias("ox"), part("sy").alias("fy"), part("sx").alias("fx"))
+    taps = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), ((F.col("fy") if j else 1 - F.col("fy")) * (F.col("fx") if i else 1 - F.col("fx"))).alias("w")) for j in (0, 1) for i in (0, 1)])
+    e = frames.filter("v IS NOT NULL").join(s, ["grp", "frame"]).withColumn("t", F.explode(taps))
+    e = e.select("grp", "frame", (F.col("y") - F.col("oy") - F.col("t.j")).alias("y"), (F.col("x") - F.col("ox") - F.col("t.i")).alias("x"), (F.col("v") * F.col("t.w")).alias("wv"))
+    return e.groupBy("grp", "frame", "y", "x").agg(F.sum("wv").alias("v"), F.count("*").alias("n")).filter("n = 4").drop("n")
+
+
+def sources(image: DataFrame, sigma: float = 5.0) -> DataFrame:
+    """Pixels ``sigma`` scaled MADs above their group's median that no pixel of their 3 x 3 square outshines (a tie goes to the smaller (y, x)).
+
+    ``(grp, y, x, v, n, cy, cx, width)``: ``cy``, ``cx`` is the centroid and ``width`` the root mean square distance from it of
+    the square's present pixels, weighted by their height over the median where positive.
+    """
+    mid = robust.group_percentiles(image, ["grp"], {"level": ("v", 0.5)})
+    off = image.join(mid, "grp").withColumn("off", F.abs(F.col("v") - F.col("level")))
+    mad = robust.group_percentiles(off, ["grp"], {"mad": ("off", 0.5)})
+    at = off.join(mad, "grp").withColumn("up", F.greatest(F.col("v") - F.col("level"), F.lit(0.0)))
+    high = at.filter(F.col("v") > F.col("level") + sigma * 1.4826 * F.col("mad")).select("grp", F.col("y").alias("py"), F.col("x").alias("px"), F.col("v").alias("pv"))
+    around = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i")) for j in (-1, 0, 1) for i in (-1, 0, 1)])
+    square = high.withColumn("o", F.explode(around)).withColumn("y", F.col("py") + F.col("o.j")).withColumn("x", F.col("px") + F.col("o.i")).drop("o")
+    c = square.join(at.select("grp", "y", "x", "v", "up"), ["grp", "y", "x"])
+    beats = (F.col("v") > F.col("pv")) | ((F.col("v") == F.col("pv")) & (F.struct("y", "x") < F.struct("py", "px")))
+    dy, dx = F.col("y") - F.col("py"), F.col("x") - F.col("px")
+    m = c.groupBy("grp", "py", "px").agg(
+        F.first("pv").alias("v"), F.count("*").alias("n"), F.bool_or(beats).alias("beaten"), F.sum("up").alias("w"), F.sum(F.col("up") * dy).alias("wy"), F.sum(F.col("up") * dx).alias("wx"), F.sum(F.col("up") * (dy * dy + dx * dx)).alias("wr"),
+    )
+    my, mx = F.col("wy") / F.col("w"), F.col("wx") / F.col("w")
+    return m.filter("NOT beaten").select("grp", F.col("py").alias("y"), F.col("px").alias("x"), "v", "n", (F.col("py") + my).alias("cy"), (F.col("px") + mx).alias("cx"), F.sqrt(F.greatest(F.col("wr") / F.col("w") - my * my - mx * mx, F.lit(0.0))).alias("width"))
+
+
 def local_peaks(image: DataFrame, half: int = 5, percent: float = 0.99, most: int = 30) -> DataFrame:
     """Each group's ``most`` brightest pixels that are the maximum of their square and at or above its ``percent`` percentile.
 
-    The square's maximum is taken along rows, then along columns, so a pixel is
-    copied 2 x (2 half + 1) times instead of (2 half + 1) squared.
+    A pixel that outshines a peak is above the percentile, too, so only pixels above it are looked at. The square's
+    maximum is taken along rows, then along columns: 2 x (2 half + 1) copies instead of (2 half + 1) squared.
     """
     high = robust.group_percentiles(image, ["grp"], {"limit": ("v", percent)})
+    bright = image.join(high, "grp").filter(F.col("v") >= F.col("limit")).select("grp", "y", "x", "v")
     offsets = F.explode(F.sequence(F.lit(-half), F.lit(half)))
-    rows = image.withColumn("o", offsets).groupBy("grp", "y", (F.col("x") + F.col("o")).alias("x")).agg(F.max("v").alias("m"))
+    rows = bright.withColumn("o", offsets).groupBy("grp", "y", (F.col("x") + F.col("o")).alias("x")).agg(F.max("v").alias("m"))
     square = rows.withColumn("o", offsets).groupBy("grp", (F.col("y") + F.col("o")).alias("y"), "x").agg(F.max("m").alias("m"))
-    peaks = image.join(high, "grp").filter(F.col("v") >= F.col("limit")).join(square, ["grp", "y", "x"]).filter(F.col("v") >= F.col("m"))
+    peaks = bright.join(square, ["grp", "y", "x"]).filter(F.col("v") >= F.col("m"))
     w = Window.partitionBy("grp").orderBy(F.desc("v"), "y", "x")
     return peaks.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("grp", "y", "x", "v", "rank")
 

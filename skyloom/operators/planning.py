@@ -41,6 +41,17 @@ def filter_parts(spec: Column) -> tuple[Column, Column]:
     return F.get(s, F.lit(0)), F.coalesce(F.nullif(F.trim(F.get(s, F.lit(1))), F.lit("")), F.lit("CLEAR"))
 
 
+def of_specs(filter_name: Column, pupil: Column, specs: list[str]) -> Column:
+    """Whether a product's filter and pupil are asked for by specs ``FILTER`` (any pupil) or ``FILTER;PUPIL``.
+
+    As soon as one spec names a pupil, only the named pupils pass, for every filter. A null pupil is CLEAR.
+    """
+    parts = [s.strip().upper().split(";") for s in specs]
+    pupils = [p[1].strip() for p in parts if len(p) > 1 and p[1].strip()]
+    wanted = folded(filter_name).isin([p[0].strip() for p in parts])
+    return wanted & folded(F.coalesce(pupil, F.lit("CLEAR"))).isin(pupils) if pupils else wanted
+
+
 def latest(rows: DataFrame, key: str, seen: str, *ties: str) -> DataFrame:
     """The last row of each key, combined before the shuffle."""
     rest = [c for c in rows.columns if c != key]

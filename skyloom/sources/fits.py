@@ -14,6 +14,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 BLOCK, CARD = 2880, 80
@@ -84,7 +85,7 @@ class _Reader(DataSourceReader):
                     break
         return out
 
-    def read(self, part: _Part) -> Iterator[tuple]:
+    def read(self, part: _Part) -> Iterator[tuple | pa.RecordBatch]:
         if self.what == "headers":
             for k, cards, _ in headers(part.path):
                 yield part.path, k, cards.get("EXTNAME"), cards
@@ -94,10 +95,14 @@ class _Reader(DataSourceReader):
         with open(part.path, "rb") as f:
             f.seek(part.offset + part.y0 * nx * kind.itemsize)
             a = np.frombuffer(f.read((part.y1 - part.y0) * nx * kind.itemsize), kind).reshape(-1, nx)
-        v = a * float(c.get("BSCALE", 1)) + float(c.get("BZERO", 0))
-        for y in range(len(v)):
-            for x in range(nx):
-                yield part.path, part.y0 + y, x, (float(v[y, x]) if np.isfinite(v[y, x]) else None)
+        v = (a * float(c.get("BSCALE", 1)) + float(c.get("BZERO", 0))).astype(float)
+        lines = max(1, 65_536 // nx)  # a batch of about so many pixels
+        for y in range(0, len(v), lines):
+            flat = v[y : y + lines].ravel()
+            at = np.arange(len(flat))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part.path] * len(flat)), pa.array((part.y0 + y + at // nx).astype(np.int32)), pa.array((at % nx).astype(np.int32)), pa.array(flat, mask=~np.isfinite(flat))], ["path", "y", "x", "v"],
+            )
 
 
 def _cards(pairs: list[tuple[str, object]]) -> bytes:

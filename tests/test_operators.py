@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import robust
-from skyloom.operators import detection, graphs, images, matching, planning
+from skyloom.operators import graphs, images, matching, planning
 from skyloom.sources import documents, files, fits
 from skyloom.streaming import arrivals
 
@@ -191,24 +191,29 @@ def test_group_percentiles_are_exact(spark, small, monkeypatch):
     assert "e" not in got
 
 
-def test_detection_finds_each_separated_star_once(spark):
-    rng = np.random.default_rng(8)
-    at = [(20.0 * i + rng.uniform(-3, 3), 20.0 * j + rng.uniform(-3, 3)) for i in range(12) for j in range(12)]
-    s = spark.createDataFrame([("g", k, float(x), float(y), 50.0, 3.0) for k, (x, y) in enumerate(at)], "grp string, id bigint, x double, y double, amp double, fwhm double")
-    got = np.array([(r["x"], r["y"]) for r in detection.detections(s).collect()])
-    assert len(got) == len(at)
-    d = np.sqrt(((got[:, None] - np.array(at)[None]) ** 2).sum(2))
-    assert d.min(0).max() < 0.1 and d.min(1).max() < 0.1
-
-
-def test_fits_recover_planted_profiles(spark):
-    rng = np.random.default_rng(9)
-    rows = [(k, float(x), float(y), float(a), 10.0, float(m), float(m * q)) for k, (x, y, a, m, q) in enumerate(zip(rng.uniform(0, 99, 60), rng.uniform(0, 99, 60), rng.uniform(5, 500, 60), rng.uniform(1.8, 5, 60), rng.uniform(0.7, 1, 60)))]
-    s = spark.createDataFrame(rows, "id bigint, x double, y double, amp double, pedestal double, major double, minor double")
-    got = {r["id"]: r for r in detection.fitted(s).collect()}
-    for k, _, _, a, b, major, minor in rows:
-        r = got[k]
-        assert r["is_usable"] and r["fwhm_major_px"] == pytest.approx(major, rel=0.03) and r["fwhm_minor_px"] == pytest.approx(minor, rel=0.03) and r["amp"] == pytest.approx(a, rel=0.03)
+def test_frames_are_moved_onto_common_pixels(spark):
+    yy, xx = np.mgrid[0:9, 0:10]
+    a = 2.0 * xx + 3 * yy
+    frames = dense(spark, a).select("grp", F.lit(1).alias("frame"), "y", "x", "v").unionByName(dense(spark, a).select("grp", F.lit(2).alias("frame"), "y", "x", "v"))
+    shifts = spark.createDataFrame([("g", 1, 0.0, 0.0), ("g", 2, 1.25, -2.5)], "grp string, frame int, sy double, sx double")
+    got = {(r["frame"], r["y"], r["x"]): r["v"] for r in images.moved(frames, shifts).collect()}
+    assert all(v == pytest.approx(2 * x + 3 * y) for (f, y, x), v in got.items() if f == 1)
+    assert all(v == pytest.approx(2 * (x + 2.5) + 3 * (y - 1.25)) for (f, y, x), v in got.items() if f == 2) and sum(f == 2 for f, _, _ in got) > 40
+
+
+def test_sources_have_centroids_and_ties_count_once(spark):
+    rng = np.random.default_rng(1)
+    a = rng.normal(10, 1, (40, 40))
+    a[10, 10], a[10, 11], a[30, 20], a[30, 21] = 100.0, 55.0, 80.0, 80.0
+    got = {(r["y"], r["x"]): r for r in images.sources(dense(spark, a).drop("rows", "cols"), 10.0).collect()}
+    assert set(got) == {(10, 10), (30, 20)} and 10.2 < got[10, 10]["cx"] < 10.45 and 20.4 < got[30, 20]["cx"] < 20.6
+
+
+def test_filter_specs(spark):
+    rows = [(1, "F444W", "CLEAR"), (2, "f444w ", "F405N"), (3, "F200W", None), (4, "F200W", "F164N"), (5, None, "CLEAR")]
+    df = spark.createDataFrame(rows, "id int, f string, p string")
+    ids = lambda specs: {r["id"] for r in df.filter(planning.of_specs(F.col("f"), F.col("p"), specs)).collect()}
+    assert ids(["F444W"]) == {1, 2} and ids(["F444W;F405N"]) == {2} and ids(["F444W;F405N", "f200w"]) == {2} and ids(["F444W", "F200W;CLEAR"]) == {1, 3}
 
 
 def test_listing_and_manifest(spark, tmp_path):
