@@ -35,9 +35,10 @@ PART, OVERLAP = 4096, 64
 WIDTH, STEP = 26, 5
 # Wherever a leaked stretch lies, one of the windows over it has at least 18 words of its item; of an interrupted one at least 10, with a word that carries the answer.
 KNOWN, HALF = 18, 10
-RANK, SPARE, SEED = 256, 16, 5
+RANK, SPARE, SEED = 160, 16, 5
 COSINE = 0.5
 BLOCK_WORDS = 20_000  # of the test items searched at once: at most so many terms, so the basis held by the driver and each task is under 50 MB
+COMMON = 8  # words of over one in so many items are common ones
 PART_WORDS, OWN_ITEMS, ANSWERS = 6, 3, 1  # an interrupted passage: least words of a part, items that a word with an answer is in at most, least such words of a part
 # (words of an item window, words that may differ): a passage of n words of which one in eight may
 # differ holds one of these windows with at most as many changes, whatever n from 20 on
@@ -139,10 +140,10 @@ def _added_up(parts: DataFrame, basis: np.ndarray, weight: np.ndarray, unknown:
                 if small:
                     total += y.T @ y
                     continue
-                back = y[np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(term)]))] * w[:, None]
                 order = np.argsort(term, kind="stable")
                 some, at = np.unique(term[order], return_index=True)
-                total[some] += np.add.reduceat(back[order], at)
+                of = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(term)]))[order]
+                total[some] += np.add.reduceat(y[of] * w[order, None], at)
         blocks = [total[i : i + step].tobytes() for i in range(0, n_rows, step)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array(blocks, pa.binary())], ["block", "data"])
 
@@ -322,7 +323,12 @@ def _leaked(docs: DataFrame, doc_id: str, text: str, item_words: list[tuple[int,
     of_item = np.zeros((len(vocabulary) + 1, len(item_ids)), np.uint16)
     for i, (_, x) in enumerate(item_ids):
         of_item[x, i] = 1
-    rare = of_item.sum(1) <= OWN_ITEMS
+    held = of_item.sum(1)
+    rare = held <= OWN_ITEMS
+    common = held > max(OWN_ITEMS, len(item_ids) // COMMON)  # counted for every item alike: a bound from above
+    common[-1] = False
+    special = ~common
+    special[-1] = False
     answers = [rare[x] for _, x in item_ids]
     of_item += 256 * (of_item & rare[:, None])  # words in the lower byte, those that carry an answer in the upper one
 
@@ -348,9 +354,11 @@ def _leaked(docs: DataFrame, doc_id: str, text: str, item_words: list[tuple[int,
         for b, off, ids in _blocks(batches, min(60_000, block)):
             p = Passages(off, ids, weight, unknown)
             # words of each item in each passage: differences of running counts (modulo 2^16)
-            run = np.zeros((len(ids) + 1, len(item_ids)), np.uint16)
-            np.cumsum(of_item[ids], 0, out=run[1:], dtype=np.uint16)
-            many = run[p.end] - run[p.start]
+            at, alike = np.r_[0, np.cumsum(special[ids])], np.r_[0, np.cumsum(common[ids])].astype(np.uint16)
+            p.keep((alike[p.end] - alike[p.start]) + (at[p.end] - at[p.start]) >= HALF)
+            run = np.zeros((at[-1] + 1, len(item_ids)), np.uint16)
+            np.cumsum(of_item[ids[special[ids]]], 0, out=run[1:], dtype=np.uint16)
+            many = run[at[p.end]] - run[at[p.start]] + (alike[p.end] - alike[p.start])[:, None]
             many = (many & 255 >= KNOWN) | (many & 255 >= HALF) & (many >= 256)
             del run
             enough = many.any(1)
