@@ -52,6 +52,32 @@ def of_specs(filter_name: Column, pupil: Column, specs: list[str]) -> Column:
     return wanted & folded(F.coalesce(pupil, F.lit("CLEAR"))).isin(pupils) if pupils else wanted
 
 
+# The second stage's categories in their order.
+STAGE_KINDS = ("cal", "combined_i2d", "subset_i2d")
+
+
+def stage_kinds(spec: str) -> list[str]:
+    """The categories a comma list names, in their own order; an unknown or no name is an error."""
+    wanted = [k.strip() for k in spec.split(",") if k.strip()]
+    unknown = sorted(set(wanted) - set(STAGE_KINDS))
+    if unknown or not wanted:
+        raise ValueError(f"unknown categories {unknown}" if unknown else "no category named")
+    return [k for k in STAGE_KINDS if k in wanted]
+
+
+def staged(plan: DataFrame) -> DataFrame:
+    """``category`` of each planned file: single calibrated files, combined mosaics, and single mosaics of detector nrca1 in visits 1 to 4 or of visit 1; else null."""
+    single = F.col("filename").rlike(_CAL)
+    subset = ((F.lower(F.trim("detector")) == "nrca1") & F.col("visit").isin(1, 2, 3, 4)) | (F.col("visit") == 1)
+    category = F.when(single & F.col("filename").rlike(r"_cal\.fits?$"), "cal").when(~single & F.col("filename").endswith("_i2d.fits"), "combined_i2d").when(single & subset, "subset_i2d")
+    return plan.withColumn("category", category)
+
+
+def plain_projection(ctype: Column) -> Column:
+    """A projection's name without its distortion suffix."""
+    return F.regexp_replace(ctype, "-SIP$", "")
+
+
 def latest(rows: DataFrame, key: str, seen: str, *ties: str) -> DataFrame:
     """The last row of each key, combined before the shuffle."""
     rest = [c for c in rows.columns if c != key]

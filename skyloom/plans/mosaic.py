@@ -181,15 +181,28 @@ def tile_diff_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {STARS_SQL}, im AS (SELECT mosaic_key AS grp, CAST(floor(y / 16.0::double) AS BIGINT) AS y, CAST(floor(x / 16.0::double) AS BIGINT) AS x, max(flux) AS v FROM stars WHERE isfinite(flux) GROUP BY ALL),
-l AS (SELECT *, median(v) OVER (PARTITION BY grp) AS level FROM im), q AS (SELECT *, greatest(v - level, 0) AS up, median(abs(v - level)) OVER (PARTITION BY grp) AS mad FROM l),
+_CELLS_SQL = f"WITH {STARS_SQL}, im AS (SELECT mosaic_key AS grp, CAST(floor(y / 16.0::double) AS BIGINT) AS y, CAST(floor(x / 16.0::double) AS BIGINT) AS x, max(flux) AS v FROM stars WHERE isfinite(flux) GROUP BY ALL),\n"
+
+# the sources of an image im (grp, y, x, v)
+SOURCES_SQL = """l AS (SELECT *, median(v) OVER (PARTITION BY grp) AS level FROM im), q AS (SELECT *, greatest(v - level, 0) AS up, median(abs(v - level)) OVER (PARTITION BY grp) AS mad FROM l),
 h AS (SELECT grp, y AS py, x AS px, v AS pv FROM q WHERE v > level + 5.0::double * 1.4826::double * mad), o AS (SELECT *, unnest([-1, 0, 1]) AS i FROM (SELECT *, unnest([-1, 0, 1]) AS j FROM h)),
 c AS (SELECT o.grp, py, px, pv, q.v, up, q.y - py AS dy, q.x - px AS dx, q.v > pv OR (q.v = pv AND (q.y < py OR (q.y = py AND q.x < px))) AS beats FROM o JOIN q ON q.grp = o.grp AND q.y = py + j AND q.x = px + i),
 m AS (SELECT grp, py, px, any_value(pv) AS v, count(*) AS n, bool_or(beats) AS beaten, sum(up * dy) / sum(up) AS my, sum(up * dx) / sum(up) AS mx, sum(up * (dy * dy + dx * dx)) / sum(up) AS r FROM c GROUP BY ALL)
-SELECT grp, py AS y, px AS x, v, n, round(py + my, 6) AS cy, round(px + mx, 6) AS cx, round(sqrt(greatest(r - my * my - mx * mx, 0)), 6) AS width FROM m WHERE NOT beaten""")
+SELECT grp, py AS y, px AS x, v, n, round(py + my, 6) AS cy, round(px + mx, 6) AS cx, round(sqrt(greatest(r - my * my - mx * mx, 0)), 6) AS width FROM m WHERE NOT beaten"""
+
+
+@query(_CELLS_SQL + SOURCES_SQL)
 def detect_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of each mosaic's image: cells far above its median that outshine their neighbours, with centroid and width from moments."""
+    return rounded_sources(written(cells(spark, sf_dir), "image"))
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole image of each mosaic, counted from the mosaic's own zero."""
     im = whole_image(spark, sf_dir)
-    at = im.select("grp", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), "v")
+    return im.select("grp", (F.col("y") + F.col("y0")).alias("y"), (F.col("x") + F.col("x0")).alias("x"), "v")
+
+
+def rounded_sources(image: DataFrame) -> DataFrame:
     r: Callable[[str], Column] = lambda c: F.round(c, 6).alias(c)
-    return images.sources(written(at, "image")).select("grp", "y", "x", "v", "n", r("cy"), r("cx"), r("width"))
+    return images.sources(image).select("grp", "y", "x", "v", "n", r("cy"), r("cx"), r("width"))
