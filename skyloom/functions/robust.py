@@ -1,6 +1,6 @@
 """Robust statistics of groups: medians, median absolute deviations and iterated clipping.
 
-All medians are exact. ``clipped``, ``stacked`` and ``mad_sigma`` use windows: their groups are
+All medians are exact. ``clipped`` and ``mad_sigma`` use windows, ``stacked`` an array: their groups are
 one pixel's, tile's or source's values, whose number the survey bounds. Groups that grow with
 the table (a filter, a mosaic) take ``group_percentiles`` and ``clipped_large``, which
 gather no group; a whole column, ``whole_percentiles``.
@@ -54,10 +54,25 @@ def clipped(df: DataFrame, keys: list[str], value: str, sigma: float, rounds: in
 def stacked(df: DataFrame, keys: list[str], value: str, sigma: float = 3.0, rounds: int = 3, mean: bool = False) -> DataFrame:
     """Sigma-clipped combine of each pixel's values: ``coverage`` (before clipping), ``kept``, ``value``.
 
-    Under three values: their plain median or mean; none: null, with coverage 0.
+    Under three values: their plain median or mean; none: null, with coverage 0. As ``clipped`` with ``mad``, but a
+    pixel's values (as many as exposures see it) are one sorted array after a single shuffle, clipped where they are.
     """
-    c = clipped(df.select(*keys, F.col(value).alias("_v")), keys, "_v", sigma, rounds)
-    return c.groupBy(*keys).agg(F.count("_v").alias("coverage"), F.count("_kept").alias("kept"), (F.avg if mean else F.median)("_kept").alias("value"))
+    g = df.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_s")).withColumn("coverage", F.size("_s").cast("bigint"))
+    for _ in range(rounds):
+        g = g.withColumn("_c", _middle("_s"))
+        g = g.withColumn("_d", F.sort_array(F.transform("_s", lambda v: F.abs(v - F.col("_c")))))
+        g = g.withColumn("_w", F.lit(sigma) * (F.lit(MAD_SCALE_FULL) * _middle("_d")))
+        inside = F.filter("_s", lambda v: (v >= F.col("_c") - F.col("_w")) & (v <= F.col("_c") + F.col("_w")))
+        g = g.withColumn("_s", F.when(F.col("coverage") < 3, F.col("_s")).otherwise(inside)).drop("_c", "_d", "_w")
+    kept = F.size("_s").cast("bigint")
+    total = F.aggregate("_s", F.lit(0.0), lambda a, v: a + v)
+    return g.select(*keys, "coverage", kept.alias("kept"), (F.try_divide(total, kept) if mean else _middle("_s")).alias("value"))
+
+
+def _middle(c: str) -> Column:
+    """The median of a sorted array; null where it is empty."""
+    at = lambda i: F.get(c, F.floor(i / 2).cast("int")) * 0.5
+    return at(F.size(c) - 1) + at(F.size(c))
 
 
 SMALL_GROUP = 100_000
