@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import robust
+from skyloom.session import written
 
 FWHM_PER_SIGMA = 2.0 * math.sqrt(2.0 * math.log(2.0))
 
@@ -43,9 +44,9 @@ def matched(image: DataFrame, fwhm: float = 3.0, sigma: float = 5.0, most: int =
     limit = mad.select("grp", (F.greatest(1.4826 * F.col("mad"), F.lit(1.1754943508222875e-38)) * sigma * scale).alias("limit"))
     e = image.filter("v IS NOT NULL").withColumn("t", _taps(taps))
     e = e.select("grp", (F.col("y") - F.col("t.j")).alias("y"), (F.col("x") - F.col("t.i")).alias("x"), "v", (F.col("v") * F.col("t.w")).alias("wv"), ((F.col("t.j") == 0) & (F.col("t.i") == 0)).alias("own"))
-    conv = e.groupBy("grp", "y", "x").agg(F.round(F.sum("wv"), 6).alias("height"), F.sum("v").alias("all"), F.max(F.when(F.col("own"), F.col("v"))).alias("v"))
+    conv = written(e.groupBy("grp", "y", "x").agg(F.round(F.sum("wv"), 6).alias("height"), F.sum("v").alias("all"), F.max(F.when(F.col("own"), F.col("v"))).alias("v")), "filtered")
     # only what is above the limit can outshine a star
-    high = conv.join(limit, "grp").filter(F.col("height") > F.col("limit")).select("grp", "y", "x", "v", "all", "height")
+    high = written(conv.join(limit, "grp").filter(F.col("height") > F.col("limit")).select("grp", "y", "x", "v", "all", "height"), "high")
     best = high.withColumn("t", _taps([(j, i) for j, i, _ in taps])).groupBy("grp", (F.col("y") + F.col("t.j")).alias("y"), (F.col("x") + F.col("t.i")).alias("x")).agg(F.max("height").alias("best"))
     sharp = F.try_divide(F.col("v") - (F.col("all") - F.col("v")) / (len(taps) - 1), F.col("height"))
     peaks = high.filter("v IS NOT NULL").join(best, ["grp", "y", "x"]).filter("height >= best").withColumn("sharpness", sharp).filter("sharpness BETWEEN 0.2 AND 1.0")
