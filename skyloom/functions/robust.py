@@ -106,7 +106,8 @@ def group_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[st
     value = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
     small, large = by_size(df, keys, most)
     out = small.groupBy(*keys).agg(*[F.percentile(value(c), F.lit(p)).alias(name) for name, (c, p) in wanted.items()]).dropna("all", subset=list(wanted))
-    return out if large is None else out.unionByName(_large_percentiles(large, keys, wanted, accuracy, most or SMALL_GROUP))
+    # written: a join may take a bare union for partitioned by the keys, which it no longer is once one side is re-planned while running
+    return out if large is None else written(out.unionByName(_large_percentiles(large, keys, wanted, accuracy, most or SMALL_GROUP)), "percentiles")
 
 
 def _large_percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], accuracy: int, most: int) -> DataFrame:
