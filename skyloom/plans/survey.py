@@ -235,7 +235,9 @@ def width_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     first = written(median_width(d.withColumn("half", F.lit(1).cast("bigint"))), "hint")
     second = median_width(d.join(first, "grp").select("grp", "y", "x", F.greatest(F.lit(1), F.ceil(2 * F.col("width"))).cast("bigint").alias("half")))
-    return second.join(first.select("grp", F.round("width", 6).alias("first_width")), "grp").select("grp", "n", "first_width", F.round("width", 6).alias("width"), (F.col("n") >= 8).alias("is_measured"))
+    # a median of two six-digit widths often ends in a half, which the SQL rounds as the product with 10^6 falls
+    six = lambda c: F.round(F.col(c) * 1e6) / 1e6
+    return second.join(first.select("grp", six("width").alias("first_width")), "grp").select("grp", "n", "first_width", six("width").alias("width"), (F.col("n") >= 8).alias("is_measured"))
 
 
 # -- gauge and build reports ---------------------------------------------------------------------------------

@@ -18,7 +18,7 @@ def folder(spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["detect_sources", "weighted_sources"])
+@pytest.mark.parametrize("name", ["detect_sources", "weighted_sources", "width_refine"])
 def test_sources_of_large_mosaics(spark, folder, monkeypatch, name):
     monkeypatch.setattr(robust, "SMALL_GROUP", 200)
     usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
