@@ -131,3 +131,38 @@ def test_the_forest_decides_what_is_usual_for_a_source(spark):
     got = {r["id"] for r in spikes.flagged(s).collect()}
     assert 402 in got and len(got) <= 5  # those beside the spike may stand apart, too
     assert len(without) > 150 and 402 in without
+
+
+def test_scores_of_a_large_source_are_set_apart_from_all_of_them(spark):
+    rng, n = np.random.default_rng(11), 7_000
+    v = 5 + rng.normal(0, 0.05, n)
+    v[5::70] += 1.5
+    rows = [("large", k, T0 + timedelta(minutes=7 * k), float(x), None, "") for k, x in enumerate(v)]
+    got = spikes.scored(table_of(spark, rows), "src", "at", "id", {"v": (F.col("v"), F.lit(False))}, group_rows=900).toPandas()
+    lower = lambda x: np.sort(x)[(len(x) - 1) // 2]
+    s = got["score"].to_numpy()
+    off = s - lower(s)
+    assert len(s) == n and got["apart"].to_numpy() == pytest.approx(off / (1.4826 * lower(np.abs(off))))
+    assert (got.set_index("id").loc[np.arange(5, n, 70), "apart"] > spikes.APART).all()
+
+
+def test_counted_rows_score_as_rows():
+    rng = np.random.default_rng(12)
+    group, weight, seed = np.repeat([0, 1], 150), rng.integers(0, 40, 300).astype(float), np.array([5, 6])
+    x, number = rng.normal(size=(300, 3)), np.arange(300)
+    x[7], x[160], weight[7], weight[160] = 20.0, -20.0, 1, 0
+    s = isolation.counted(group, x, weight, seed, number)
+    assert s[:150].argmax() == 7 and s[150:].argmax() == 10  # a lone row, and one that is scored only
+    mixed = rng.permutation(300)
+    assert (isolation.counted(group[mixed], x[mixed], weight[mixed], seed, number[mixed]) == s[mixed]).all()
+    all_rows = np.repeat(np.arange(300), weight.astype(int))
+    want = isolation.apart(s[all_rows], group[all_rows], np.ones(len(all_rows), bool))
+    assert isolation.counted_apart(s, group, weight)[all_rows] == pytest.approx(want)
+
+
+def test_scatter_of_sources_beyond_the_sketch(spark, monkeypatch):
+    df, fields = table_of(spark, sources(seed=3)), {"v": (F.col("v"), F.col("v") < 0), "w": (F.round("v"), F.lit(False))}
+    scatter = lambda: {(r["id"], r["field_name"]): r["scatter"] for r in spikes.scored(df, "src", "at", "id", fields, group_rows=300).collect()}
+    sketched = scatter()
+    monkeypatch.setattr(spikes, "SKETCHED", 80)
+    assert len(sketched) > 1_600 and scatter() == sketched  # so small a source is exact either way
