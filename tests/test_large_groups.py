@@ -32,3 +32,25 @@ def test_sources_of_large_mosaics(spark, folder, monkeypatch, name):
     want = con.execute(entry.oracle_sql()[name]).fetchdf()[list(got.columns)]
     order = list(got.columns[:3])
     assert len(want) and got.sort_values(order).values.tolist() == want.sort_values(order).values.tolist()
+
+
+def test_masked_cells_of_large_mosaics(spark, tmp_path, monkeypatch):
+    """Cells of no weight, some of them the brightest around, are neither sources nor neighbours in mosaics of any size."""
+    rng, weights = np.random.default_rng(5), [0.1, None, 0.2, 0.0, float("nan"), 0.1, float("inf")]
+    cells = [(m, y, x) for m, n in (("wide", 40), ("long", 30), ("c", 9)) for y in range(n) for x in range(n)]
+    rows = [(k, m, 16.0 * x + 3, 16.0 * y + 3, float(rng.exponential(10) + (500 if y % 4 == 3 and x % 4 == 3 else 0)), weights[k % 7]) for k, (m, y, x) in enumerate(cells)]
+    # a second fit in every third cell: the weight may be one star's, the flux the other's
+    rows += [(k + len(rows), m, x + 4, y + 4, flux + 1, weights[(k + 3) % 7]) for k, m, x, y, flux, _ in rows[::3]]
+    spark.createDataFrame(rows, "star_id long, mosaic_key string, x double, y double, flux double, rms_residual double").withColumn("loaded_at", F.lit(None).cast("timestamp")).write.parquet(str(tmp_path / "star_fits.parquet"))
+    monkeypatch.setattr(robust, "SMALL_GROUP", 200)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        got = entry.queries()["weighted_sources"](spark, str(tmp_path)).toPandas()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW star_fits AS SELECT * FROM read_parquet('{tmp_path}/star_fits.parquet/*.parquet')")
+    want = con.execute(entry.oracle_sql()["weighted_sources"]).fetchdf()[list(got.columns)]
+    order = list(got.columns[:3])
+    assert len(want) and got.sort_values(order).values.tolist() == want.sort_values(order).values.tolist()
